@@ -300,6 +300,10 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
 def pii_digest(documents: DataFrame) -> DataFrame:
     found = find_pii(documents)
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+    counts = [number(k).alias(f"n_{k}") for k in BASE]
     digest = F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256")
     return found.select("doc_id", *counts, digest, joined(F.concat("base", "more")).alias("spans"))
