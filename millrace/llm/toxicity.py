@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,76 +28,116 @@ ADDRESS = frozenset("you your you're yours u ur du dich dir dein deine tu te toi
 QUOTES = "\"“”„«»‹›"
 END = "$"
 SHORTEST, LONGEST = 4, 12
-FEATURES = ("exact", "fuzzy", "distinct", "density", "cluster", "quoted", "addressed")
+FEATURES = ("exact", "fuzzy", "distinct", "density", "cluster", "best", "quoted", "addressed")
+#: So many of FEATURES count hits; the last two tell how they are meant.
+COUNTS = 6
 
 
 class Trie:
-    """Terms as nested dicts; a term's node holds it under the empty string. A stem ends without END."""
+    """Terms as nested dicts, walked together with the Levenshtein automaton of a token.
 
-    def __init__(self, terms: list[str]):
-        self.root: dict = {}
+    A node keeps its term under the empty string and the most edits of the terms below it under None. A
+    stem ends without END. The automaton's state is one bit mask for each number of edits: bit i says
+    that the first i letters of the token meet the path with so many edits at most.
+    """
+
+    def __init__(self, terms: list[str], allowed: Callable[[str], int]):
+        self.allowed = allowed
+        self.root: dict = {None: 0}
         for term in terms:
             node = self.root
             for c in term:
-                node = node.setdefault(c, {})
+                node[None] = max(node[None], allowed(term))
+                node = node.setdefault(c, {None: 0})
             node[""] = term
+            node[None] = max(node[None], allowed(term))
 
-    def nearest(self, token: str, allowed) -> tuple[str, int] | None:
-        """The closest term within ``allowed(term)`` edits of ``token``, ties to the first in order.
+    def nearest(self, token: str) -> tuple[str, int] | None:
+        """The closest term within its allowance of ``token``, ties to the first in order: (term, edits).
 
-        The automaton's state is the row of edit distances between the trie's path and each prefix of
-        the token; a path is left when no cell of its row is within the largest allowance. A stem
-        is compared with every beginning of the token, a whole word with all of it.
+        A stem is compared with every beginning of the token, a whole word with all of it.
         """
-        most = allowed(None)
+        n = len(token)
+        full, last = (1 << (n + 1)) - 1, 1 << n
+        at: dict[str, int] = {}
+        for i, c in enumerate(token):
+            at[c] = at.get(c, 0) | 1 << i
         best: tuple[int, str] | None = None
-        stack = [(self.root, list(range(len(token) + 1)))]
+        stack = [(self.root, [(1 << (d + 1)) - 1 & full for d in range(self.root[None] + 1)])]
         while stack:
-            node, row = stack.pop()
+            node, state = stack.pop()
             for c, child in node.items():
-                if c == "":
-                    edits = min(row)
-                    if edits <= allowed(child) and (best is None or (edits, child) < best):
-                        best = (edits, child)
-                elif c == END:
-                    if row[-1] <= allowed(child[""]) and (best is None or (row[-1], child[""]) < best):
-                        best = (row[-1], child[""])
-                else:
-                    new = [row[0] + 1]
-                    for j, t in enumerate(token, 1):
-                        new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (t != c)))
-                    if min(new) <= most:
-                        stack.append((child, new))
+                if c is None:
+                    continue
+                if c == "" or c == END:
+                    term = child if c == "" else child[""]
+                    ends = full if c == "" else last
+                    edits = next((d for d in range(min(self.allowed(term) + 1, len(state))) if state[d] & ends), None)
+                    if edits is not None and (best is None or (edits, term) < best):
+                        best = (edits, term)
+                    continue
+                met = at.get(c, 0)
+                new = [(state[0] & met) << 1]
+                for d in range(1, min(child[None] + 1, len(state))):
+                    less = state[d - 1]
+                    new.append((((state[d] & met) | less | new[d - 1]) << 1 | less) & full)
+                if new[-1]:
+                    stack.append((child, new))
         return None if best is None else (best[1], best[0])
 
 
-def edits_allowed(term: str | None) -> int:
-    """0 for short terms, 1 from five letters on, 2 for whole words from nine; None: the most of any."""
-    if term is None:
-        return 2
+def edits_allowed(term: str) -> int:
+    """Words: 1 from five letters on, 2 from nine; stems: 1 from six; shorter ones 0."""
     letters = len(term.rstrip(END))
-    return 0 if letters < 5 else 2 if letters >= 9 and term.endswith(END) else 1
+    if not term.endswith(END):
+        return int(letters >= 6)
+    return 0 if letters < 5 else 2 if letters >= 9 else 1
 
 
 class Matcher(dict):
-    """Token -> (term, edits) or None, kept for tokens met before."""
+    """Token -> (term, edits) or None, kept for tokens met before.
+
+    Within e edits, one of e + 1 parts of a term stands in the token unchanged, at most e places away;
+    tokens without such a part, or of another length, never reach the automaton.
+    """
 
-    def __init__(self, terms: list[str]):
+    def __init__(self, terms: list[str], strengths: list[float]):
         super().__init__()
-        self.trie = Trie(terms)
-        self.starts, self.ends = set(), set()
+        self.strength = dict(zip(terms, strengths, strict=True))
+        self.words = {t for t in terms if t.endswith(END)}
+        self.stems = set(terms) - self.words
+        self.stem_lengths = sorted({len(s) for s in self.stems})
+        self.trie = Trie([t for t in terms if edits_allowed(t)], edits_allowed)
+        self.parts: dict[str, list[tuple[int, int, int, int]]] = {}
         for term in terms:
-            letters, parts = term.rstrip(END), edits_allowed(term) + 1
-            cuts = [round(i * len(letters) / parts) for i in range(parts + 1)]
-            # of parts one more than the edits, one is left as it is, at most so many places away
-            self.starts.update((letters[a:b], a, parts - 1) for a, b in zip(cuts, cuts[1:]))
-        self.parts = sorted(self.starts)
+            letters, edits = term.rstrip(END), edits_allowed(term)
+            if edits:
+                cuts = [round(i * len(letters) / (edits + 1)) for i in range(edits + 2)]
+                most = len(letters) + edits if term in self.words else 1 << 30
+                for a, b in zip(cuts, cuts[1:]):
+                    self.parts.setdefault(letters[a:b], []).append((a, edits, len(letters) - edits, most))
+        self.part_lengths = sorted({len(p) for p in self.parts})
+        self.reach = max((a + e for spots in self.parts.values() for a, e, _, _ in spots), default=-1)
+
+    def _near(self, token: str) -> bool:
+        n, parts = len(token), self.parts
+        for size in self.part_lengths:
+            for at in range(min(n - size, self.reach) + 1):
+                for a, e, least, most in parts.get(token[at : at + size], ()):
+                    if least <= n <= most and a - e <= at <= a + e:
+                        return True
+        return False
 
     def __missing__(self, token: str) -> tuple[str, int] | None:
         if len(self) > 400_000:
             self.clear()
-        near = any((at := token.find(part, max(0, a - e))) >= 0 and at <= a + e for part, a, e in self.parts)
-        found = self.trie.nearest(token, edits_allowed) if near else None
+        found = None
+        if token + END in self.words:
+            found = (token + END, 0)
+        elif any(token[:n] in self.stems for n in self.stem_lengths):
+            found = (next(token[:n] for n in self.stem_lengths if token[:n] in self.stems), 0)
+        elif self._near(token):
+            found = self.trie.nearest(token)
         self[token] = found
         return found
 
@@ -107,6 +147,7 @@ class ToxicityModel:
     terms: list[str] = field(default_factory=list)
     weights: list[float] = field(default_factory=list)  # of FEATURES, then the constant
     window: int = 8
+    strengths: list[float] = field(default_factory=list)  # of the terms: log-odds over their texts
 
 
 def features_of(text: str, matcher: Matcher, window: int) -> list[float]:
@@ -129,8 +170,9 @@ def features_of(text: str, matcher: Matcher, window: int) -> list[float]:
         exact += hits[tokens[i]][1] == 0
     cluster = max(bisect_left(at, i + 4 * window) - k for k, i in enumerate(at))
     fuzzy = len(at) - exact
+    best = max((matcher.strength[t] for t, edits in hits.values() if edits == 0), default=0.0)
     distinct = len({hits[tokens[i]][0] for i in at})
-    return [np.log1p(exact), np.log1p(fuzzy), np.log1p(distinct), len(at) / len(tokens), np.log1p(cluster), quoted / len(at), addressed / len(at)]
+    return [np.log1p(exact), np.log1p(fuzzy), np.log1p(distinct), len(at) / len(tokens), np.log1p(cluster), best, quoted / len(at), addressed / len(at)]
 
 
 def _stems(text: str) -> set[str]:
@@ -172,6 +214,17 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
     return w.tolist()
 
 
+def fit_rising(x: np.ndarray, y: np.ndarray, rising: int) -> list[float]:
+    """A regression in which more of the first ``rising`` features never lowers the score: those that would are left out."""
+    used = np.ones(x.shape[1], bool)
+    while True:
+        w = np.array(fit_logistic(x * used, y))
+        down = np.flatnonzero((w[:rising] < 0) & used[:rising])
+        if not len(down):
+            return (w * np.append(used, True)).tolist()
+        used[down[w[down].argmin()]] = False
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, support: int = 5, precision: float = 0.9, most_terms: int = 500, window: int = 8) -> ToxicityModel:
     """A model from at most ``sample`` labelled rows that are not held out, taken in the order of their ids' hash.
 
@@ -200,9 +253,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, suppo
     terms = choose_terms(toxic, clean, support, precision, most_terms)
     if not terms:
         return ToxicityModel()
+    strengths = [float(np.log((toxic[t] + 0.5) / (clean.get(t, 0) + 0.5))) for t in terms]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(terms)
+        matcher = Matcher(terms, strengths)
         for batch in batches:
             x = np.array([features_of(v.as_py(), matcher, window) for v in batch.column(0)], np.float64).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(x[:, j]) for j in range(len(FEATURES)))], names=["toxic", *FEATURES])
@@ -212,7 +266,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, suppo
     if len({*y}) < 2:
         return ToxicityModel()
     table = table.sort_values(list(table.columns), kind="stable")  # the sums don't depend on the order of tasks
-    return ToxicityModel(terms, fit_logistic(table[list(FEATURES)].to_numpy(), table["toxic"].to_numpy(np.float64)), window)
+    return ToxicityModel(terms, fit_rising(table[list(FEATURES)].to_numpy(), table["toxic"].to_numpy(np.float64), COUNTS), window, strengths)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -223,7 +277,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(model.terms)
+        matcher = Matcher(model.terms, model.strengths)
         weights = np.array(model.weights)
         for batch in batches:
             x = np.array([features_of(v.as_py() or "", matcher, model.window) for v in batch.column(2)], np.float64).reshape(-1, len(FEATURES))
@@ -242,7 +296,7 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) ->
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(model.terms)
+        matcher = Matcher(model.terms, model.strengths)
         weights = np.array(model.weights)
         for batch in batches:
             x = np.array([features_of(v.as_py() or "", matcher, model.window) for v in batch.column(names.index("text"))], np.float64).reshape(-1, len(FEATURES))
