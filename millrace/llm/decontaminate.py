@@ -55,11 +55,10 @@ def weighted_print(hashes: np.ndarray, weights: np.ndarray) -> int:
     return int(np.packbits(weights @ bits > weights.sum() / 2, bitorder="little").view(np.uint64)[0])
 
 
-def similarity(a: np.ndarray, b: np.ndarray, weight) -> float:
-    """Weighted Jaccard similarity of two multisets of shingles."""
-    x, y = Counter(a.tolist()), Counter(b.tolist())
-    both = sum(min(n, y[s]) * weight(s) for s, n in x.items() if s in y)
-    every = sum(max(x[s], y[s]) * weight(s) for s in x.keys() | y.keys())
+def similarity(x: Counter[int], y: Counter[int], weights: dict[int, float], rare: float) -> float:
+    """Weighted Jaccard similarity of two multisets of shingles; ``rare`` is the weight of one not in ``weights``."""
+    both = sum(min(n, y[s]) * weights.get(s, rare) for s, n in x.items() if s in y)
+    every = sum(max(x[s], y[s]) * weights.get(s, rare) for s in x.keys() | y.keys())
     return both / every if every else 0.0
 
 
@@ -74,6 +73,11 @@ class ItemIndex:
     word_hashes: np.ndarray  # by vocabulary number; 0 is no item's word
     known: np.ndarray  # sorted shingles of all items
     weights: np.ndarray  # of ``known``
+    by_shingle: dict[int, float]  # the same
+    counts: list[Counter[int]]  # each item's shingles
+    totals: np.ndarray  # each item's weight
+    holders: np.ndarray  # items that hold each of ``known``, one after the other
+    starts: np.ndarray  # where they start, and the end
     rare: float  # weight of a shingle that no item has
     prints: np.ndarray
     blocks: list[tuple[int, int, dict[int, np.ndarray]]]  # shift, mask, value -> items
@@ -81,9 +85,16 @@ class ItemIndex:
     threshold: float
     n: int
 
-    def weight(self, shingle: int) -> float:
-        k = int(np.searchsorted(self.known, np.uint64(shingle)))
-        return float(self.weights[k]) if k < len(self.known) and int(self.known[k]) == shingle else self.rare
+    def weights_of(self, hashes: np.ndarray) -> np.ndarray:
+        place = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        return np.where(self.known[place] == hashes, self.weights[place], self.rare)
+
+    def promising(self, place: np.ndarray) -> np.ndarray:
+        """Items of which a text with these of ``known`` (repeats included) has weight enough somewhere."""
+        first, n = self.starts[place], self.starts[place + 1] - self.starts[place]
+        at = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        shared = np.bincount(self.holders[at], np.repeat(self.weights[place], n), len(self.ids))
+        return np.flatnonzero(shared >= self.threshold * self.totals - 1e-9)
 
     def near(self, fingerprint: int) -> np.ndarray:
         """All items within the radius: they agree on one of radius + 1 blocks at least."""
@@ -104,8 +115,15 @@ def build_index(items: list[tuple[int, str]], n: int, radius: int, threshold: fl
     known = np.array(sorted(spread), np.uint64)
     weights = np.log1p(len(items) / np.array([spread[int(s)] for s in known], float))
     rare = float(np.log1p(len(items)))
-    index = ItemIndex([i for i, _ in items], hashes, np.array([len(w) for _, w in items], np.int64), vocabulary, word_hashes, known, weights, rare, np.empty(0, np.uint64), [], radius, threshold, n)
-    index.prints = np.array([weighted_print(h, np.array([index.weight(int(s)) for s in h])) for h in hashes], np.uint64)
+    by_shingle = dict(zip(known.tolist(), weights.tolist()))
+    counts = [Counter(h.tolist()) for h in hashes]
+    totals = np.array([sum(n * by_shingle[x] for x, n in c.items()) for c in counts])
+    held = sorted((x, k) for k, c in enumerate(counts) for x in c)
+    starts = np.concatenate([[0], np.cumsum([spread[int(x)] for x in known])]).astype(np.int64)
+    holders = np.array([k for _, k in held], np.int64)
+    sizes = np.array([len(w) for _, w in items], np.int64)
+    index = ItemIndex([i for i, _ in items], hashes, sizes, vocabulary, word_hashes, known, weights, by_shingle, counts, totals, holders, starts, rare, np.empty(0, np.uint64), [], radius, threshold, n)
+    index.prints = np.array([weighted_print(h, index.weights_of(h)) for h in hashes], np.uint64)
     edges = [round(k * 64 / (radius + 1)) for k in range(radius + 2)]
     for a, b in zip(edges, edges[1:]):
         values = (index.prints >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)
@@ -131,23 +149,25 @@ def leaks_of(text: str | None, index: ItemIndex) -> list[tuple[int, float, int,
         hit = (index.known[place] == runs) & (strange[n:] == strange[:-n])
         if not hit.any():
             continue
+        likely = index.promising(place[hit])
+        likely = likely[np.minimum(index.sizes[likely], index.n) == n]
+        if not len(likely):
+            continue
         shared = np.concatenate([[0.0], np.cumsum(np.where(hit, index.weights[place], 0.0))])
-        for size in np.unique(index.sizes[np.minimum(index.sizes, index.n) == n]):
+        for size in np.unique(index.sizes[likely]):
             span = int(size) - n + 1
             if span > len(runs):
                 continue
-            mine = np.flatnonzero(index.sizes == size)
-            least = min(sum(index.weight(int(s)) for s in index.hashes[k]) for k in mine)
+            least = index.totals[likely[index.sizes[likely] == size]].min()
             # what a window shares with all items bounds what it shares with one
             for at in np.flatnonzero(shared[span:] - shared[:-span] >= index.threshold * least - 1e-9):
                 if full is None:  # words that no item has need their own hashes now
                     full = np.fromiter(map(word_hash, words), np.uint64, len(words))
                 window = shingles(full[at : at + int(size)], n)
-                print_ = weighted_print(window, np.array([index.weight(int(s)) for s in window]))
-                for k in index.near(print_):
-                    if index.sizes[k] != size:
-                        continue
-                    s = similarity(window, index.hashes[k], index.weight)
+                found = index.near(weighted_print(window, index.weights_of(window)))
+                counts = Counter(window.tolist())
+                for k in found[index.sizes[found] == size]:
+                    s = similarity(counts, index.counts[k], index.by_shingle, index.rare)
                     if s >= index.threshold and (k not in best or s > best[k][0]):
                         best[int(k)] = (s, int(at), int(size))
     return [(index.ids[k], *v) for k, v in sorted(best.items())]
