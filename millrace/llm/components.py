@@ -24,10 +24,10 @@ def _star(pairs: DataFrame, larger: bool) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, left: str, right: str, max_rounds: int = 60) -> DataFrame:
-    """``node, root`` for every node that has an edge to another: root is the least node reachable.
+    """``node, root`` for every node from which a lesser one can be reached: root is the least reachable.
 
-    ``edges`` may hold repeats, self-links and nulls (both are ignored); nodes without a link are not
-    returned. An empty table gives an empty result. Every round is cut with a checkpoint in the shared
+    ``edges`` may hold repeats, self-links and nulls (both are ignored); roots themselves and
+    nodes without a link are not returned. An empty table gives an empty result. Every round is cut with a checkpoint in the shared
     folder. Rounds grow with the logarithm of the longest path.
     """
     pairs = edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).where("u <> v").distinct()

@@ -106,7 +106,7 @@ def tiled(rows: DataFrame, by: list[str], salt: Column, tile: int = TILE) -> Dat
 
 
 def fingerprint_components(prints: DataFrame, radius: int = 3, blocks: int = 5) -> DataFrame:
-    """``fp, root`` of those distinct fingerprints of column ``fp`` that link to another one; root is the least (signed)."""
+    """``fp, root`` of those distinct fingerprints of column ``fp`` that reach a lesser (signed) one; root is the least reached."""
     distinct = prints.select("fp").where("fp IS NOT NULL").distinct()
     masks = [F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("block")) for i, m in enumerate(block_masks(radius, blocks))]
     keyed = distinct.select("fp", F.explode(F.array(*masks)).alias("k")).select("k.mask", "k.block", "fp")

@@ -1,0 +1,83 @@
+import hashlib
+import re
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from millrace.llm import pii
+
+
+def luhn(d):
+    return sum(n if i % 2 == 0 else 2 * n - (9 if n > 4 else 0) for i, n in enumerate(map(int, reversed(d)))) % 10 == 0
+
+
+def base_of(text):
+    """The plain formats, straight from their definition."""
+    t, out = text or "", []
+    out += [("email", m) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", m) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m.group().split("."))]
+    out += [("card", m) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 13 <= len(d := re.sub("[^0-9]", "", m.group())) <= 19 and luhn(d)]
+    out += [("phone", m) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(re.sub("[^0-9]", "", m.group())) <= 15]
+    return ",".join(f"{k}:{m.start()}:{m.end()}" for k, m in out)
+
+
+def digest(spark, texts):
+    return pii.pii_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+
+
+def same(spark, texts):
+    for text, row in zip(texts, digest(spark, texts)):
+        want = base_of(text)
+        assert row.base_sha256 == hashlib.sha256(want.encode()).hexdigest(), (text, want, row.spans)
+        kinds = [s.split(":")[0] for s in want.split(",") if s]
+        assert [row.n_email, row.n_ip, row.n_card, row.n_phone] == [kinds.count(k) for k in ("email", "ip", "card", "phone")]
+        assert set(want.split(",")) - {""} <= set(row.spans.split(","))
+
+
+CASES = [
+    None, "", "a@b.c@d.e x@y.zz%foo@bar.com", "😀 mail é.x@y.org, ip 1.2.3.4.5.6.7.8 and 256.1.1.1 0001.2.3.004", "4111 1111 1111 1111 and 4111111111111112", "7 4111-1111-1111-1111", "4111  1111 1111 1111 1111",
+    "12345678901234567890", "+49 (30) 123-4567 +1 2 +123456789012345678", "a\x01b@c.de\x01 +33 1 23 45 67 89", "@ . + 1.2.3 1.2.3.4@x.y", "1" * 5000, "a" * 5000 + "@" + "b." * 3000 + "c", "9." * 4000, "+1" * 3000,
+]
+
+
+def test_base_spans(spark):
+    same(spark, CASES)
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab1234567890 @.+-()é😀"), max_size=60), min_size=40, max_size=40))
+def test_base_spans_of_any_text(spark, texts):
+    same(spark, texts)
+
+
+def test_more_spans(spark):
+    texts = ["please call our phone: (030) 123-4567 today", "contact joe (at) example (dot) com soon", 'token = "24be64439e3e49cf46b2d7c90f3602a3"', "order date 2024-01-05 version 12.34.5678"]
+    rows = [r.spans for r in digest(spark, texts)]
+    assert [bool(r) for r in rows] == [True, True, True, False]
+    assert rows[0].startswith("phone:") and rows[1].startswith("email:") and rows[2].startswith("secret:")
+
+
+def test_trees_agree_with_their_expression(spark):
+    model = pii.fit_trees()
+    made = [("phone", "030 123-4567", "my phone: ", " ."), ("card", "4111/1111/1111/1111", "visa ", ""), ("id", "123-45-6789", "x ssn ", " "), ("ip", "fe80:0:0:1:2:3", "host ", "")]
+    rows = [(k, b + f + a, len(b), len(b) + len(f), f) for k, f, b, a in made]
+    df = spark.createDataFrame(rows, "kind string, t string, start int, end int, found string").withColumn("s", F.struct("start", "end", "found"))
+    for (k, f, b, a), row in zip(made, rows):
+        one = df.where(F.col("found") == f)
+        got = one.select(model.column(pii.feature_columns(k, F.col("s"), F.col("t"))).alias("x")).first().x
+        assert got == pytest.approx(model.logit(pii.np.array([pii.features_of(k, f, b[-pii.WINDOW :], a[:1])]))[0])
+    scores = model.logit(pii.np.array([pii.features_of(*m) for m in made]))
+    assert len(scores) == 4
+
+
+def test_redaction(spark, odd_docs):
+    df = spark.createDataFrame([(1, "write a@b.cd or +49 30 1234567!"), (2, None)], "doc_id long, text string")
+    assert [r.text for r in pii.redact(df).orderBy("doc_id").collect()] == ["write <email> or <phone>!", None]
+
+
+def test_odd_rows(odd_docs, no_docs):
+    rows = pii.pii_digest(odd_docs.withColumnRenamed("n_chars", "base")).collect()
+    assert len(rows) == 11 and all(r.spans == "" for r in rows)
+    assert pii.pii_digest(no_docs).count() == 0
