@@ -175,18 +175,34 @@ def features_of(text: str, matcher: Matcher, window: int) -> list[float]:
     return [np.log1p(exact), np.log1p(fuzzy), np.log1p(distinct), len(at) / len(tokens), np.log1p(cluster), best, quoted / len(at), addressed / len(at)]
 
 
-def _stems(text: str) -> set[str]:
-    words = {w for w in _WORD.findall(text.lower()) if len(w) >= SHORTEST}
-    return {w[:n] for w in words for n in range(SHORTEST, min(len(w), LONGEST) + 1)} | {w + END for w in words}
+def _stems(text: str) -> dict[str, int]:
+    """Every beginning of each word of a text, and the word with END, with a mask of the words before it.
 
-
-def choose_terms(toxic: dict[str, int], clean: dict[str, int], support: int, precision: float, most: int) -> list[str]:
-    """Stems and words found in ``support`` toxic texts or more, of all their texts at least the share ``precision``.
+    The mask has one of 64 bits set for each word that stands before; over many texts its bits tell how
+    different the places are, however many copies of one text there are.
+    """
+    tokens = _WORD.findall(text.lower())
+    masks: dict[str, int] = {}
+    before = " "
+    for w in tokens:
+        if len(w) >= SHORTEST:
+            masks[w] = masks.get(w, 0) | 1 << ((ord(before[0]) * 31 + ord(before[-1]) * 7 + len(before)) & 63)
+        before = w
+    out: dict[str, int] = {}
+    for w, mask in masks.items():
+        out[w + END] = mask
+        for n in range(SHORTEST, min(len(w), LONGEST) + 1):
+            out[w[:n]] = out.get(w[:n], 0) | mask
+    return out
+
+
+def choose_terms(toxic: dict[str, int], clean: dict[str, int], precision: float, most: int) -> list[str]:
+    """Stems and words of whose texts at least the share ``precision`` is toxic.
 
     Of a chain of beginnings the shortest that qualifies is grown for as long as its texts stay (nearly)
     the same, so that a stem with many endings is one term and a word is that word.
     """
-    good = {s: n for s, n in toxic.items() if n >= support and n >= precision * (n + clean.get(s, 0))}
+    good = {s: n for s, n in toxic.items() if n >= precision * (n + clean.get(s, 0))}
     following: dict[str, list[str]] = {}
     for s in good:
         following.setdefault(s[:-1], []).append(s)
@@ -228,7 +244,8 @@ def fit_rising(x: np.ndarray, y: np.ndarray, rising: int) -> list[float]:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, support: int = 5, precision: float = 0.9, most_terms: int = 500, window: int = 8) -> ToxicityModel:
     """A model from at most ``sample`` labelled rows that are not held out, taken in the order of their ids' hash.
 
-    Rows without a text, id or label are not learned from; an id with several labels counts as toxic if
+    A term must follow ``support`` different words or more in toxic texts, so that the words of one much
+    copied text are no terms. Rows without a text, id or label are not learned from; an id with several labels counts as toxic if
     one of them is. No labels, or labels of one kind, give a model that scores 0 everywhere.
     """
     known = labels.where(F.col("toxic").isNotNull() & ~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -239,18 +256,22 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, suppo
     def count(label: int, among: frozenset[str] | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total: Counter[str] = Counter()
+            places: dict[str, int] = {}
             for batch in batches:
                 for value in batch.column(0):
-                    stems = _stems(value.as_py())
-                    total.update(stems if among is None else stems & among)
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["stem", "n"])
+                    for stem, mask in _stems(value.as_py()).items():
+                        if among is None or stem in among:
+                            total[stem] += 1
+                            places[stem] = places.get(stem, 0) | mask
+            masks = np.array([places[s] for s in total], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64()), pa.array(masks)], names=["stem", "n", "places"])
 
-        found = map_arrow(rows.where(F.col("toxic") == label).select("text"), run, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n"))
-        return {r.stem: r.n for r in found.where(F.col("n") >= (support if among is None else 1)).toLocalIterator()}
+        found = map_arrow(rows.where(F.col("toxic") == label).select("text"), run, "stem string, n long, places long").groupBy("stem").agg(F.sum("n").alias("n"), F.bit_count(F.bit_or("places")).alias("places"))
+        return {r.stem: r.n for r in found.where(F.col("places") >= support if among is None else F.lit(True)).toLocalIterator()}
 
     toxic = count(1, None)
     clean = count(0, frozenset(toxic))
-    terms = choose_terms(toxic, clean, support, precision, most_terms)
+    terms = choose_terms(toxic, clean, precision, most_terms)
     if not terms:
         return ToxicityModel()
     strengths = [float(np.log((toxic[t] + 0.5) / (clean.get(t, 0) + 0.5))) for t in terms]
