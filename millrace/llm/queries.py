@@ -52,4 +52,4 @@ def op10_language(spark, sf_dir):
 
 _ALL = (op1_decontamination, op2_simhash_dedup, op3_line_dedup, op4_pii, op5_sharding, op6_toxicity, op7_quality, op8_packing, op9_neighbours, op10_language)
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLE = {"op3_line_dedup": line_templates.ORACLE}
+ORACLE = {"op3_line_dedup": line_templates.ORACLE, "op5_sharding": sharding.ORACLE}

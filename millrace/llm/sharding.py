@@ -82,3 +82,16 @@ def shard_digest(documents: DataFrame, shards: int = 8) -> DataFrame:
     """The digest of ``assign_shards``: ids, sizes, checksums and places, without the texts."""
     slim = documents.select("doc_id", "text")
     return assign_shards(slim, "doc_id", "text", shards).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+#: DuckDB SQL for ``shard_digest`` with its default parameters: the checksum byte by byte, the jumps by recursion.
+ORACLE = r"""WITH RECURSIVE tbl AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+docs AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, CASE WHEN doc_id < 0 THEN doc_id::HUGEINT + 18446744073709551616 ELSE coalesce(doc_id, 0)::HUGEINT END AS k FROM documents),
+crc AS (SELECT r, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32 FROM docs, tbl),
+jumps AS (SELECT r, n, k, -1::BIGINT AS b, 0::BIGINT AS j FROM docs, (VALUES (8), (9)) v(n)
+ UNION ALL
+ SELECT r, n, k1, j, floor((j + 1) * (2147483648.0::DOUBLE / ((k1 // 8589934592)::DOUBLE + 1)))::BIGINT FROM (SELECT *, (k * 2862933555777941757 + 1) % 18446744073709551616 AS k1 FROM jumps WHERE j < n)),
+placed AS (SELECT r, max(b) FILTER (n = 8 AND j >= 8)::INT AS shard, max(b) FILTER (n = 9 AND j >= 9)::INT AS grown_shard FROM jumps GROUP BY r)
+SELECT doc_id, (length(h) // 2 + 1)::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY k % 1024, k) - 1 AS slot, grown_shard
+FROM docs JOIN crc USING (r) JOIN placed USING (r)
+"""
