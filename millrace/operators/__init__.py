@@ -1 +1 @@
-"""See the package README section."""
+"""Operators: DataFrame to DataFrame functions of the conversation layers and of documents."""

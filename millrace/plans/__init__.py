@@ -1 +1 @@
-"""See the package README section."""
+"""The layers end to end."""

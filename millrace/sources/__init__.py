@@ -1 +1 @@
-"""See the package README section."""
+"""Scans, sinks and the metadata catalog."""
