@@ -44,6 +44,7 @@ def lifted(vectors: np.ndarray, longest: float) -> np.ndarray:
 def balanced_centroids(points: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
     """k-means whose assignment pays for the size of a cluster, so that no list draws most of the rows."""
     rng = np.random.default_rng(seed)
+    length = np.linalg.norm(points[0])  # of all of them: they are lifted
     centres = points[rng.choice(len(points), k, replace=False)].copy()
     load = np.zeros(k)
     for _ in range(rounds):
@@ -53,7 +54,9 @@ def balanced_centroids(points: np.ndarray, k: int, rounds: int = 12, seed: int =
         load = np.maximum(load + 0.3 * (sizes * k / len(points) - 1), 0)
         for j in range(k):
             mine = points[owner == j]
-            centres[j] = mine.mean(0) if len(mine) else points[rng.integers(len(points))]
+            mean = mine.mean(0) if len(mine) else points[rng.integers(len(points))]
+            # on the sphere of the points: else a large cluster's short mean would be near to everything
+            centres[j] = mean * (length / max(np.linalg.norm(mean), 1e-300))
     return centres
 
 
@@ -112,7 +115,7 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def nearest_vectors(
-    rows: DataFrame, is_query, k: int = 20, key: str = "vec_id", column: str = "embedding", sample: int = 8192, width: int = 48, query_ratio: float = 1.45, border_ratio: float = 1.15, copies: int = 3
+    rows: DataFrame, is_query, k: int = 20, key: str = "vec_id", column: str = "embedding", sample: int = 8192, share: float = 0.4, least: int = 32, query_ratio: float = 1.45, border_ratio: float = 1.05, copies: int = 3, first: int = 8
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each query row the ``k`` rows of largest inner product found, but its own id.
 
@@ -124,14 +127,18 @@ def nearest_vectors(
     The lists are fitted on at most ``sample`` rows; all rows are indexed. Of rows with the same vector
     only the ``k + 1`` smallest ids can be among anyone's nearest, so only they are indexed. Lists and
     their queries are dealt to cells of bounded size. ``border_ratio`` and ``copies`` bound the other
-    lists a vector also goes to, ``query_ratio`` and ``width`` the lists a query looks at, by distance.
+    lists a vector also goes to. A query looks at the lists within ``query_ratio`` of its nearest one's
+    distance, at most a ``share`` of all lists or ``least``: vectors without structure need so many,
+    with structure the ratio leaves few.
+    A query's ``first`` lists are scanned before the others, which then give only what is better than
+    the k-th found so far.
     """
     fine = cut_lineage(usable(rows, key, column))
     same = Window.partitionBy("vector").orderBy("vec_id")
     kept = fine.withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1).drop("n")
     facts = fine.agg(F.count("*").alias("n"), F.sqrt(F.max(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))).alias("longest")).first()
     chosen = fine.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vector").toPandas()["vector"]
-    points = np.array([np.asarray(v) for v in chosen], np.float64).reshape(len(chosen), -1)
+    points = np.stack([np.asarray(v, np.float64) for v in chosen]) if len(chosen) else np.zeros((0, 1))
     lists = fit_lists(points, float(facts.longest or 0), facts.n)
     shared = rows.sparkSession.sparkContext.broadcast(lists)  # at most sample / 4 centroids
 
@@ -151,26 +158,33 @@ def nearest_vectors(
             # the query's own length doesn't matter to the order of inner products
             norms = np.linalg.norm(vectors, axis=1, keepdims=True)
             points = np.hstack([vectors / norms * known.longest, np.zeros((len(vectors), 1))])
-            row, col = [], []
+            row, col, nth = [], [], []
             for i, point in enumerate(points):
-                ids, d = walk(known, point, width)
+                ids, d = walk(known, point, max(least, int(share * len(known.centroids))))
                 ids = ids[np.sqrt(d) <= query_ratio * np.sqrt(d[0]) + 1e-12]
                 row += [i] * len(ids)
                 col += ids.tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(col, pa.int32()), *(c.take(pa.array(row, pa.int64())) for c in batch.columns)], names=["list", "vec_id", "vector"])
+                nth += range(len(ids))
+            yield pa.RecordBatch.from_arrays([pa.array(col, pa.int32()), pa.array(nth, pa.int32()), *(c.take(pa.array(row, pa.int64())) for c in batch.columns)], names=["list", "nth", "vec_id", "vector"])
 
     posted = cut_lineage(map_arrow(kept, post, "list int, vec_id long, vector array<double>"))
-    looks = cut_lineage(map_arrow(fine.where(is_query(F.col("vec_id"))), look, "list int, vec_id long, vector array<double>"))
+    looks = cut_lineage(map_arrow(fine.where(is_query(F.col("vec_id"))), look, "list int, nth int, vec_id long, vector array<double>"))
     # one row for each list: bounded by the sample
     sizes = posted.groupBy("list").agg(F.ceil(F.count("*") / LIST_ROWS).cast("int").alias("parts"))
-    asked = looks.groupBy("list").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("blocks"))
-    cells = F.broadcast(sizes.join(asked, "list"))
 
     def spread(n: str):
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
-    left = posted.join(cells, "list").select("list", F.pmod(F.xxhash64("vec_id"), "parts").cast("int").alias("part"), spread("blocks").alias("block"), F.lit(False).alias("asks"), "vec_id", "vector")
-    right = looks.join(cells, "list").select("list", spread("parts").alias("part"), F.pmod(F.xxhash64("vec_id"), "blocks").cast("int").alias("block"), F.lit(True).alias("asks"), "vec_id", "vector")
+    def scanned(asking: DataFrame) -> DataFrame:
+        """Lists and the queries (``list, vec_id, vector, bound``) that look at them, met in cells."""
+        asked = asking.groupBy("list").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("blocks"))
+        cells = F.broadcast(sizes.join(asked, "list"))
+        part, block = F.pmod(F.xxhash64("vec_id"), "parts").cast("int").alias("part"), F.pmod(F.xxhash64("vec_id"), "blocks").cast("int").alias("block")
+        left = posted.join(cells, "list").select("list", part, spread("blocks").alias("block"), F.lit(False).alias("asks"), "vec_id", "vector", F.lit(0.0).alias("bound"))
+        right = asking.join(cells, "list").select("list", spread("parts").alias("part"), block, F.lit(True).alias("asks"), "vec_id", "vector", "bound")
+        dealt = left.union(right).repartition(*by).sortWithinPartitions(*by)
+        return map_arrow(dealt, scan, "query_id long, vec_id long, score double")
+
     by = ["list", "part", "block"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +197,7 @@ def nearest_vectors(
             rough = q @ x.T
             slack = 1e-9 * np.abs(rough).max()
             need = min(k + 1, len(x))
-            least = np.partition(rough, len(x) - need, axis=1)[:, len(x) - need]
+            least = np.maximum(np.partition(rough, len(x) - need, axis=1)[:, len(x) - need], cell.column("bound").to_numpy()[asks])
             i, j = np.nonzero(rough >= (least - slack)[:, None])
             i, j = i[qid[i] != xid[j]], j[qid[i] != xid[j]]
             score = np.einsum("ij,ij->i", q[i], x[j])  # the same for equal vectors, wherever they stand
@@ -193,12 +207,17 @@ def nearest_vectors(
             best = place < k
             yield pa.RecordBatch.from_arrays([pa.array(qid[i[best]]), pa.array(xid[j[best]]), pa.array(score[best])], names=["query_id", "vec_id", "score"])
 
-    dealt = left.union(right).repartition(*by).sortWithinPartitions(*by)
-    found = map_arrow(dealt, scan, "query_id long, vec_id long, score double")
     # a row in several lists has equal scores in all of them: dense ranks count it once
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.dense_rank().over(order)).where(F.col("rank") <= k)
-    return ranked.dropDuplicates(["query_id", "rank"]).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+    def best(found: DataFrame) -> DataFrame:
+        ranked = found.withColumn("rank", F.dense_rank().over(order)).where(F.col("rank") <= k)
+        return ranked.dropDuplicates(["query_id", "rank"])
+
+    early = cut_lineage(best(scanned(looks.where(F.col("nth") < first).select("list", "vec_id", "vector", F.lit(float("-inf")).alias("bound")))))
+    bounds = early.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count("*") == k, F.min("score")).otherwise(float("-inf")).alias("bound"))
+    late = looks.where(F.col("nth") >= first).join(bounds, "vec_id", "left").select("list", "vec_id", "vector", F.coalesce("bound", F.lit(float("-inf"))).alias("bound"))
+    return best(early.drop("rank").union(scanned(late))).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def neighbour_digest(embeddings: DataFrame) -> DataFrame:
