@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from .common import cut_lineage
 
 VARIABLE = "<*>"
+#: Leaves (8 bytes each) that are broadcast after they were counted; more are joined by a shuffle.
+BROADCAST_LEAVES = 1_000_000
 
 
 def content_number(text: Column) -> Column:
@@ -22,18 +24,22 @@ def content_number(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def tokens_of(line: Column) -> Column:
-    """Lower-cased words of a line; one with a digit becomes the variable mark."""
-    words = F.split(F.trim(F.regexp_replace(F.lower(line), r"\s+", " ")), " ")
-    return F.when(line.rlike("[0-9]"), F.transform(words, lambda w: F.when(w.rlike("[0-9]"), VARIABLE).otherwise(w))).otherwise(words)
-
-
 def lines_of(docs: DataFrame, text: str, depth: int) -> DataFrame:
-    """A row per line that isn't blank: text's number, place, tokens, and the keys of leaf and line (two hashes each)."""
-    lines = docs.where(F.col(text).isNotNull()).select(content_number(F.col(text)).alias("content"), F.posexplode(F.split(text, "\n")).alias("place", "line")).where(F.col("line").rlike(r"\S"))
-    rows = lines.select("content", "place", tokens_of(F.col("line")).alias("tokens")).withColumn("n", F.size("tokens"))
-    head = F.slice("tokens", 1, depth)
-    return rows.select("content", "place", "n", "tokens", F.xxhash64("n", head).alias("leaf"), F.xxhash64("tokens").alias("a"), F.xxhash64(F.lit(1), "tokens").alias("b"))
+    """A row per line that isn't blank: text's number, place, form, and the keys of leaf and line (two hashes each).
+
+    A line's form is its tokens with one blank between them. What only few texts need, because of digits
+    or other white space than single blanks, is decided once for a text.
+    """
+    t = F.col(text)
+    texts = docs.where(t.isNotNull()).select(content_number(t).alias("content"), t.rlike("[0-9]").alias("digits"), t.rlike(r"[\t\r\x0b\x0c]|  ").alias("odd"), F.split(t, "\n").alias("lines"))
+    lines = texts.select("content", "digits", "odd", F.posexplode("lines").alias("place", "line"))
+    low = F.lower("line")
+    spaced = F.trim(F.when(F.col("odd"), F.regexp_replace(low, r"\s+", " ")).otherwise(low))
+    form = F.when(F.col("digits"), F.regexp_replace(spaced, r"[^ ]*[0-9][^ ]*", VARIABLE)).otherwise(spaced)
+    rows = lines.select("content", "place", form.alias("form")).where("form <> ''")
+    n = F.length("form") - F.length(F.replace("form", F.lit(" "), F.lit(""))) + 1
+    head = F.substring_index("form", " ", depth)
+    return rows.select("content", "place", n.alias("n"), "form", F.xxhash64(n, head).alias("leaf"), F.xxhash64("form").alias("a"), F.xxhash64(F.lit(1), "form").alias("b"))
 
 
 def leaf_templates(docs: DataFrame, keys: DataFrame, text: str, depth: int, similar: float, least: int) -> DataFrame:
@@ -44,7 +50,10 @@ def leaf_templates(docs: DataFrame, keys: DataFrame, text: str, depth: int, simi
     """
     # per leaf: do at least two different lines, from at least two texts, meet there?
     leaves = keys.where(F.col("n") >= least).groupBy("leaf").agg(F.min("a").alias("x"), F.max("a").alias("y"), F.min("content").alias("c"), F.max("content").alias("d")).where("x <> y AND c <> d").select("leaf")
-    known = lines_of(docs, text, depth).where(F.col("n") >= least).join(leaves, "leaf").groupBy("leaf", "a", "b").agg(F.any_value("tokens").alias("tokens"))
+    leaves = cut_lineage(leaves)
+    few = leaves.count() <= BROADCAST_LEAVES
+    lines = lines_of(docs, text, depth).where(F.col("n") >= least).select("leaf", "a", "b", "form").join(F.broadcast(leaves) if few else leaves, "leaf")
+    known = lines.groupBy("leaf", "a", "b").agg(F.any_value("form").alias("form")).select("leaf", "a", "b", F.split("form", " ").alias("tokens"))
     known = cut_lineage(known)
     sizes = known.groupBy("leaf").agg(F.count("*").alias("lines"))
     single = known.select("leaf", "a", "b", F.size("tokens").alias("n"), F.posexplode("tokens").alias("i", "token"))
@@ -57,7 +66,7 @@ def leaf_templates(docs: DataFrame, keys: DataFrame, text: str, depth: int, simi
 
 def dropped_lines(docs: DataFrame, text: str = "text", depth: int = 3, similar: float = 0.8, least: int = 5, texts: int = 2) -> DataFrame:
     """``content, places``: the lines of each text (by ``content_number``) whose template recurs elsewhere."""
-    keys = cut_lineage(lines_of(docs, text, depth).drop("tokens"))
+    keys = cut_lineage(lines_of(docs, text, depth).drop("form"))
     found = leaf_templates(docs, keys, text, depth, similar, least)
     named = keys.join(found, ["leaf", "a", "b"], "left").select("content", "place", F.coalesce("template", "a").alias("s"), F.when(F.col("template").isNull(), F.col("b")).otherwise(F.col("leaf")).alias("t"))
     # a text's repeats are folded first, so that a template's texts are counted, not its lines
