@@ -22,6 +22,8 @@ SLOTS = 96
 UNKNOWN = "und"
 #: Characters handled at once, so that very long texts take bounded memory.
 BLOCK = 1 << 20
+#: Trigram codes that a task keeps, over all languages, before it counts them.
+WAITING = 1 << 23
 
 
 def _slot_table() -> np.ndarray:
@@ -91,17 +93,25 @@ def fit_profiles(docs: DataFrame, dimension: int = 1024, seed: int = 7, key: str
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
+        waiting: dict[str, list[np.ndarray]] = {}
+        held = 0
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            for name, parts in waiting.items():
+                total = np.bincount(np.concatenate(parts), minlength=1)
+                seen = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(seen), pa.string()), pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["lang", "code", "n"])
+            waiting.clear()
+
         for batch in batches:
             for name, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                total = sums.setdefault(name, np.zeros(SLOTS**3, np.int64))
                 for codes in gram_codes(value.as_py()):
-                    total += np.bincount(codes, minlength=SLOTS**3) if len(codes) > SLOTS**3 // 16 else 0
-                    if len(codes) <= SLOTS**3 // 16:
-                        np.add.at(total, codes, 1)
-        for name, total in sums.items():
-            seen = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(seen), pa.string()), pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["lang", "code", "n"])
+                    waiting.setdefault(name, []).append(codes)
+                    held += len(codes)
+                if held > WAITING:
+                    yield from counted()
+                    held = 0
+        yield from counted()
 
     known = docs.where(~is_held_out(F.col(key)) & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     sums = map_arrow(known, run, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
