@@ -56,12 +56,13 @@ def leaf_templates(docs: DataFrame, keys: DataFrame, text: str, depth: int, simi
     known = lines.groupBy("leaf", "a", "b").agg(F.any_value("form").alias("form")).select("leaf", "a", "b", F.split("form", " ").alias("tokens"))
     known = cut_lineage(known)
     sizes = known.groupBy("leaf").agg(F.count("*").alias("lines"))
-    single = known.select("leaf", "a", "b", F.size("tokens").alias("n"), F.posexplode("tokens").alias("i", "token"))
-    votes = single.groupBy("leaf", "i", "token").agg(F.count("*").alias("votes"))
-    constants = votes.join(sizes, "leaf").where("votes >= 2 AND votes * 2 > lines").select("leaf", "i", "token")
-    signs = constants.groupBy("leaf").agg(F.xxhash64(F.sort_array(F.collect_list(F.struct("i", "token")))).alias("template"))
-    close = single.join(constants, ["leaf", "i", "token"]).groupBy("leaf", "a", "b", "n").agg(F.count("*").alias("hits")).where(F.col("hits") >= similar * F.col("n"))
-    return close.join(signs, "leaf").select("leaf", "a", "b", "template")
+    votes = known.select("leaf", F.posexplode("tokens").alias("i", "token")).groupBy("leaf", "i", "token").agg(F.count("*").alias("votes")).where("votes >= 2")
+    constants = votes.join(sizes, "leaf").where("votes * 2 > lines")
+    # a leaf has one constant for each place at most
+    templates = constants.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("i", "token"))).alias("constants"))
+    hits = F.size(F.filter("constants", lambda c: F.get("tokens", c["i"]) == c["token"]))
+    close = known.join(templates, "leaf").where(hits >= similar * F.size("tokens"))
+    return close.select("leaf", "a", "b", F.xxhash64("constants").alias("template"))
 
 
 def dropped_lines(docs: DataFrame, text: str = "text", depth: int = 3, similar: float = 0.8, least: int = 5, texts: int = 2) -> DataFrame:
