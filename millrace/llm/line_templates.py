@@ -1,6 +1,7 @@
 """Line dedup by a log-template tree, in DataFrame expressions alone.
 
-A line's tokens are its lower-cased words; those that hold digits are variable from the start. The tree
+A line's tokens are its lower-cased words; those that hold digits, if they
+are no more than half, are variable from the start. The tree
 has a fixed depth: number of tokens, then the leading tokens. In a leaf, the places where most distinct
 lines agree are the template's constants and the others its variable fields; a line near enough to them
 takes that template, any other line is its own. A template that recurs in several texts is dropped
@@ -35,7 +36,11 @@ def lines_of(docs: DataFrame, text: str, depth: int) -> DataFrame:
     lines = texts.select("content", "digits", "odd", F.posexplode("lines").alias("place", "line"))
     low = F.lower("line")
     spaced = F.trim(F.when(F.col("odd"), F.regexp_replace(low, r"\s+", " ")).otherwise(low))
-    form = F.when(F.col("digits"), F.regexp_replace(spaced, r"[^ ]*[0-9][^ ]*", VARIABLE)).otherwise(spaced)
+    holed = r"[^ ]*[0-9][^ ]*"
+    words = F.length(spaced) - F.length(F.replace(spaced, F.lit(" "), F.lit(""))) + 1
+    # a line that is mostly numbers has too few constants to be a template
+    sparse = F.regexp_count(spaced, F.lit(holed)) * 2 <= words
+    form = F.when(F.col("digits") & sparse, F.regexp_replace(spaced, holed, VARIABLE)).otherwise(spaced)
     rows = lines.select("content", "place", form.alias("form")).where("form <> ''")
     n = F.length("form") - F.length(F.replace("form", F.lit(" "), F.lit(""))) + 1
     head = F.substring_index("form", " ", depth)
@@ -107,8 +112,9 @@ ORACLE = r"""
 WITH docs AS (SELECT doc_id, text, CAST('0x' || substr(md5(text), 1, 15) AS BIGINT) AS content FROM documents),
 texts AS (SELECT DISTINCT content, text FROM docs WHERE text IS NOT NULL),
 pieces AS (SELECT content, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS place FROM texts),
-words AS (SELECT content, place, list_transform(string_split(trim(regexp_replace(lower(line), '\s+', ' ', 'g')), ' '),
-  lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS tokens FROM pieces WHERE regexp_matches(line, '\S')),
+plain AS (SELECT content, place, string_split(trim(regexp_replace(lower(line), '\s+', ' ', 'g')), ' ') AS w FROM pieces WHERE regexp_matches(line, '\S')),
+words AS (SELECT content, place, CASE WHEN len(list_filter(w, lambda x: regexp_matches(x, '[0-9]'))) * 2 <= len(w)
+  THEN list_transform(w, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) ELSE w END AS tokens FROM plain),
 keyed AS (SELECT content, place, tokens, len(tokens) AS n, (len(tokens) || ' ' || array_to_string(tokens[1:3], ' ')) AS leaf FROM words),
 leaves AS (SELECT leaf FROM keyed WHERE n >= 5 GROUP BY leaf HAVING min(tokens) <> max(tokens) AND min(content) <> max(content)),
 known AS (SELECT DISTINCT leaf, tokens, n FROM keyed WHERE n >= 5 AND leaf IN (SELECT leaf FROM leaves)),
