@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -10,25 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.alike import cut_lineage, stream_groups  # noqa: F401
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` of the folder ``sf_dir``; Spark's reader alone opens the path."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder, so that a lost executor costs no recomputation.
-
-    The folder is the session's ``spark.checkpoint.dir``. Only where neither that setting nor a
-    folder set on the context exists (tests, a single machine) is a temporary one made.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint"))
-    return df.checkpoint(eager=True)
-
-
 def fold_of(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 4; remainder 2 is held out of every fit."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
@@ -43,32 +31,5 @@ def crc32_of(data: bytes) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF
 
 
-def stream_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Groups of consecutive rows with equal ``keys`` in a stream sorted by them.
-
-    Only the group that is open is held in memory; a group may span batches.
-    """
-    held: list[pa.Table] = []
-    last: tuple | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch])
-        columns = [table.column(k).to_pylist() for k in keys]
-        rows = list(zip(*columns, strict=True))
-        start = 0
-        for i, row in enumerate(rows):
-            if last is not None and row != last:
-                if i > start:
-                    held.append(table.slice(start, i - start))
-                if held:
-                    yield pa.concat_tables(held)
-                held, start = [], i
-            last = row
-        held.append(table.slice(start))
-    if held:
-        yield pa.concat_tables(held)
-
-
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)

@@ -1,42 +1,3 @@
 """Connected components of an edge table, by alternating large-star and small-star rewriting."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import cut_lineage
-
-
-def _star(pairs: DataFrame, larger: bool) -> DataFrame:
-    """One rewriting step: every node's neighbours are hung on the least node it knows.
-
-    The least neighbour is a partial aggregate, and only it is joined back, so that a node with very
-    many neighbours is never gathered in one task.
-    """
-    if larger:
-        both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-    least = pairs.groupBy("u").agg(F.min("v").alias("m"))
-    hung = pairs.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-    return hung.union(least.select("u", F.col("m").alias("v"))).distinct()
-
-
-def connected_components(edges: DataFrame, left: str, right: str, max_rounds: int = 60) -> DataFrame:
-    """``node, root`` for every node from which a lesser one can be reached: root is the least reachable.
-
-    ``edges`` may hold repeats, self-links and nulls (both are ignored); roots themselves and
-    nodes without a link are not returned. An empty table gives an empty result. Every round is cut with a checkpoint in the shared
-    folder. Rounds grow with the logarithm of the longest path.
-    """
-    pairs = edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).where("u <> v").distinct()
-    pairs = cut_lineage(pairs)
-    mark = None
-    for _ in range(max_rounds):
-        pairs = cut_lineage(_star(_star(pairs, larger=True), larger=False))
-        now = pairs.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        if (now.n, now.x) == mark or now.n == 0:
-            return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark = (now.n, now.x)
-    raise RuntimeError("components did not settle")
+from ..operators.alike import connected_components  # noqa: F401

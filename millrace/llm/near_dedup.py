@@ -18,13 +18,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.alike import SET_TILE, tiled
 from .common import cut_lineage, map_arrow, stream_groups
 from .components import connected_components
 from .simhash import fingerprint, shingle_hashes, words_of
 
-#: Rows of a tile: two tiles make a comparison of at most TILE x TILE.
-TILE = 2048
-
 
 class Forest:
     """Union-find over 0..n-1 that keeps, for every node, the label of its tree."""
@@ -92,19 +90,6 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def tiled(rows: DataFrame, by: list[str], salt: Column, tile: int = TILE) -> DataFrame:
-    """Rows of buckets of two or more, in pairs of tiles ``lo, hi`` of about ``tile`` rows.
-
-    A bucket of n rows has ceil(n / tile) tiles and each row goes to as many pairs, so that no task
-    gathers a large bucket.
-    """
-    sizes = rows.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1").withColumn("tiles", F.ceil(F.col("n") / tile).cast("int"))
-    dealt = rows.join(sizes.drop("n"), by).withColumn("tile", F.pmod(salt, F.col("tiles")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.withColumn("lo", F.least("tile", "other")).withColumn("hi", F.greatest("tile", "other"))
-    return dealt.drop("tile", "other", "tiles")
-
-
 def fingerprint_components(prints: DataFrame, radius: int = 3, blocks: int = 5) -> DataFrame:
     """``fp, root`` of those distinct fingerprints of column ``fp`` that reach a lesser (signed) one; root is the least reached."""
     distinct = prints.select("fp").where("fp IS NOT NULL").distinct()
@@ -149,8 +134,6 @@ def simhash_digest(documents: DataFrame) -> DataFrame:
 
 #: Multipliers and offsets of the hash order in which a text's least shingles are taken.
 _ORDERS = np.random.default_rng(23).integers(1, 1 << 63, (16, 2), np.uint64) | np.uint64(1)
-#: Rows of a tile whose shingle sets are held as well.
-SET_TILE = 256
 
 
 def least_shingles(hashes: np.ndarray, orders: int) -> list[int]:

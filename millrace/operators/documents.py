@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text, sha256
+from .alike import cut_lineage, links_in_buckets, similar_components
 
 #: Common function words of each language.
 STOP_WORDS = {
@@ -68,34 +69,50 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     return forms.groupBy("form_sha256").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
 
-def minhash_signatures(docs: DataFrame, words: int = 5, orders: int = 16) -> DataFrame:
-    """``doc_id, signature``: the least hash of the word shingles under each of ``orders`` seeds, in native expressions.
-
-    Texts of fewer words are one shingle; texts without words have a null signature.
-    """
-    w = words_of(F.col("text"))
+def shingle_sets(docs: DataFrame, words: int = 5) -> DataFrame:
+    """``doc_id, members``: the different word shingles as 64-bit hashes. Texts of fewer words are one shingle; texts without words are left out."""
+    w = docs.select("doc_id", words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - words + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, words), " ")))
-    hashes = docs.select("doc_id", w.alias("w")).select("doc_id", F.when(F.size("w") > 0, F.array_distinct(runs)).alias("h"))
+    return w.select("doc_id", F.sort_array(F.array_distinct(runs)).alias("members"))
 
-    def least(seed: int) -> Column:
-        return F.array_min(F.transform("h", lambda x: F.xxhash64(F.lit(seed), x)))
 
-    return hashes.select("doc_id", F.when(F.col("h").isNotNull(), F.array(*map(least, range(orders)))).alias("signature"))
+def minhash_signature(members: Column, orders: int = 16) -> Column:
+    """The least hash of the members under each of ``orders`` seeds."""
+    return F.array(*(F.array_min(F.transform(members, lambda x, k=seed: F.xxhash64(F.lit(k), x))) for seed in range(orders)))
 
 
 def minhash_pairs(docs: DataFrame, threshold: float = 0.8, bands: int = 8, rows: int = 2) -> DataFrame:
-    """Near-duplicates as ``doc_id, near_id, estimate``: each document and the least id of every band bucket it is in.
+    """Near-duplicates as ``doc_id, near_id, similarity``: each document that has a lesser one in its group, and the least.
 
-    A bucket's members are joined to its least member alone, never to one another, so a bucket gives as
-    many rows as it has members.
+    Groups are the components over all pairs whose sets of five-word shingles have a Jaccard similarity
+    of ``threshold`` or more; ``similarity`` is that to the least document, which in a chain can be below
+    ``threshold``. Members of a band bucket are compared with one another in pairs of tiles; pairs that
+    share no bucket meet by their prefixes (``similar_components``), so none is lost. Documents with a
+    null id or without words take no part.
     """
-    signed = minhash_signatures(docs, orders=bands * rows).where("signature IS NOT NULL")
-    banded = signed.select("doc_id", "signature", F.posexplode(F.array(*(F.xxhash64(F.slice("signature", b * rows + 1, rows)) for b in range(bands)))).alias("band", "bucket"))
-    heads = banded.groupBy("band", "bucket").agg(F.min(F.struct("doc_id", "signature")).alias("head"), F.count("*").alias("n")).where("n > 1")
-    met = banded.join(heads, ["band", "bucket"]).where(F.col("doc_id") != F.col("head.doc_id"))
-    agree = F.size(F.filter(F.arrays_zip(F.col("signature").alias("a"), F.col("head.signature").alias("b")), lambda z: z["a"] == z["b"])) / F.lit(float(bands * rows))
-    near = met.select("doc_id", F.col("head.doc_id").alias("near_id"), agree.alias("estimate")).where(F.col("estimate") >= threshold)
-    return near.distinct()
+    texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
+
+    def sets_of(ids: DataFrame | None) -> DataFrame:
+        some = texts if ids is None else texts.join(ids.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
+        return shingle_sets(some).withColumnRenamed("doc_id", "rep")
+
+    signature = minhash_signature(F.col("members"), bands * rows).alias("s")
+    signed = cut_lineage(shingle_sets(texts).select("doc_id", F.struct(F.xxhash64("members").alias("x"), F.xxhash64(F.lit(1), "members").alias("y"), F.size("members").alias("n")).alias("c"), signature))
+    reps = cut_lineage(signed.groupBy("c").agg(F.min("doc_id").alias("rep"), F.any_value("s").alias("s")))
+    chosen = reps.select("rep").distinct()
+    banded = reps.select("rep", F.col("rep").alias("root"), F.posexplode(F.array(*(F.xxhash64(F.slice("s", b * rows + 1, rows)) for b in range(bands)))).alias("band", "bucket"))
+    # band buckets with the same documents are one
+    marks = banded.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("p"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("q")).where("n > 1")
+    different = marks.groupBy("n", "p", "q").agg(F.min(F.struct("band", "bucket")).alias("k")).select("k.band", "k.bucket")
+    buckets = cut_lineage(banded.join(different, ["band", "bucket"]))
+    links = cut_lineage(links_in_buckets(buckets, ["band", "bucket"], cut_lineage(sets_of(buckets.select("rep").distinct())), threshold))
+    roots = similar_components(sets_of, chosen, links, threshold).withColumnsRenamed({"node": "rep", "root": "near_id"})
+    near = signed.select("doc_id", "c").join(reps.select("c", "rep"), "c").join(roots, "rep", "left").select("doc_id", F.coalesce("near_id", "rep").alias("near_id"))
+    near = cut_lineage(near.where("doc_id <> near_id").distinct())
+    sets = cut_lineage(sets_of(near.select(F.col("doc_id").alias("rep")).union(near.select("near_id")).distinct()))
+    pairs = near.join(sets.withColumnRenamed("rep", "doc_id"), "doc_id").join(sets.select(F.col("rep").alias("near_id"), F.col("members").alias("b")), "near_id")
+    both = F.size(F.array_intersect("members", "b"))
+    return pairs.select("doc_id", "near_id", (both / (F.size("members") + F.size("b") - both)).alias("similarity")).groupBy("doc_id", "near_id").agg(F.max("similarity").alias("similarity"))
 
 
 def quality_signals(docs: DataFrame) -> DataFrame:

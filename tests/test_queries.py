@@ -43,3 +43,32 @@ def test_minhash_finds_exact_copies(spark):
     text = " ".join(f"word{i}" for i in range(40))
     df = spark.createDataFrame([(1, text), (2, text + " more"), (3, "quite another text here now"), (4, None), (5, "")], "doc_id long, text string")
     assert [(r.doc_id, r.near_id) for r in minhash_pairs(df, 0.5).collect()] == [(2, 1)]
+
+
+def test_minhash_against_brute_force(spark):
+    import random
+
+    from millrace.operators.documents import minhash_pairs
+
+    rng = random.Random(11)
+    texts = []
+    for _ in range(25):
+        base = [f"w{rng.randint(0, 9999)}" for _ in range(rng.choice([30, 60, 120]))]
+        for c in range(6):  # drifting copies: the first is not alike to all, and many are just about 0.8
+            texts.append(" ".join(base))
+            for _ in range(rng.randint(0, 2 + c % 2)):
+                base[rng.randrange(len(base))] = f"n{rng.randint(0, 9999)}"
+    texts += [texts[0], texts[0].upper(), "one two", "one two", "", None]
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    rows = [(i, texts[k]) for i, k in enumerate(order)]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in rows if (w := (t or "").lower().split())}
+    root = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if root[a] != root[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = root[a], root[b]
+                root = {i: min(x, y) if r in (x, y) else r for i, r in root.items()}
+    got = {r.doc_id: (r.near_id, r.similarity) for r in minhash_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: n for i, (n, _) in got.items()} == {i: r for i, r in root.items() if i != r}
+    assert all(s == pytest.approx(len(sets[i] & sets[n]) / len(sets[i] | sets[n])) for i, (n, s) in got.items())
