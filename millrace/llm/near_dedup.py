@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.alike import SET_TILE, tiled
+from ..operators.alike import SET_TILE, similar_components, tiled
 from .common import cut_lineage, map_arrow, stream_groups
 from .components import connected_components
 from .simhash import fingerprint, shingle_hashes, words_of
@@ -143,7 +143,7 @@ def least_shingles(hashes: np.ndarray, orders: int) -> list[int]:
 
 
 def sketches(docs: DataFrame, key: str, text: str, words: int, orders: int) -> DataFrame:
-    """``key, c1, c2, fp, least`` of each row: two hashes of the words, the fingerprint, the least shingles."""
+    """``key, c1, c2, fp, least`` of each row: two hashes of the words, the fingerprint of the different shingles, the least shingles."""
     kind = dict(docs.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +151,7 @@ def sketches(docs: DataFrame, key: str, text: str, words: int, orders: int) -> D
             rows = []
             for value in batch.column(1):
                 w = words_of(value.as_py())
-                h = shingle_hashes(w, words)
+                h = np.unique(shingle_hashes(w, words))  # sets, as in the similarity: a repeated passage has no more votes
                 whole = xxhash.xxh3_128_digest(b" ".join(w))
                 rows.append((*np.frombuffer(whole, np.int64).tolist(), fingerprint(h), least_shingles(h, orders)))
             c1, c2, fp, least = zip(*rows) if rows else ((), (), (), ())
@@ -175,10 +175,10 @@ def near_copy_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     """``key, rep, root`` of every row with a key: rep is the least key with the same words, root the least of its group.
 
     Two texts link if the Jaccard similarity of their sets of ``words``-word shingles is ``similar`` or
-    more. Candidates share one of ``orders`` least shingles (all but one pair in 15,000 at 0.8 do) and
-    differ in at most ``radius`` fingerprint bits (0.8 gives about 10, with a deviation of 3); the
-    exact similarity of their shingle sets decides. Texts without words have the same words. Keys must
-    be whole numbers; rows with a null key are not returned.
+    more. Pairs that share one of ``orders`` least shingles and differ in at most ``radius`` fingerprint
+    bits are compared first, which finds nearly all links; every other pair that can be at ``similar``
+    then meets by its prefixes (``similar_components``), so that neither gate decides anything. Texts
+    without words have the same words. Keys must be whole numbers; rows with a null key are not returned.
     """
     rows = cut_lineage(sketches(docs.where(F.col(key).isNotNull()), key, text, words, orders))
     reps = rows.groupBy("c1", "c2").agg(F.min("key").cast("long").alias("rep"), F.first("fp").alias("fp"), F.first("least").alias("least"))
@@ -208,9 +208,13 @@ def near_copy_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", w
                 yield pa.RecordBatch.from_arrays([one.column(n).combine_chunks() for n in names], names=names)
 
     suspects = cut_lineage(map_arrow(pairs, suspect, "order int, least long, rep long, fp long").distinct())
-    wanted = suspects.select("rep").distinct()
-    texts = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("rep"), F.col(text)).join(wanted, "rep").dropDuplicates(["rep"])
-    sets = cut_lineage(_shingle_sets(texts, text, words))
+    texts = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("rep"), F.col(text))
+
+    def sets_of(ids: DataFrame | None) -> DataFrame:
+        some = texts if ids is None else texts.join(ids, "rep", "left_semi").dropDuplicates(["rep"])
+        return _shingle_sets(some, text, words).withColumnRenamed("shingles", "members")
+
+    sets = cut_lineage(sets_of(suspects.select("rep").distinct()).withColumnRenamed("members", "shingles"))
     dealt = tiled(suspects, ["order", "least"], F.xxhash64("rep"), SET_TILE).join(sets, "rep").repartition(*by).sortWithinPartitions(*by)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +236,7 @@ def near_copy_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", w
                 yield pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(ids[forest.label[linked]])], names=["a", "b"])
 
     links = map_arrow(dealt.select(*by, "rep", "fp", "shingles"), verify, "a long, b long")
-    roots = connected_components(links, "a", "b").select(F.col("node").alias("rep"), "root")
+    roots = similar_components(sets_of, reps.select("rep").distinct(), cut_lineage(links), similar).withColumnRenamed("node", "rep")
     classes = reps.select("c1", "c2", "rep").join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     return rows.join(classes, ["c1", "c2"]).select("key", "rep", "root")
 

@@ -127,3 +127,28 @@ def test_dropping_odd_rows(odd_docs, no_docs):
     assert left.columns == odd_docs.columns
     assert sorted(str(r.doc_id) for r in left.collect()) == ["1", "4", "6", "8", "9", "None"]
     assert near_dedup.drop_near_copies(no_docs).count() == 0
+
+
+def test_near_copies_with_repeated_lines_against_brute_force(spark):
+    rng = random.Random(21)
+    rows = []
+    for _ in range(60):
+        lines = [" ".join(f"r{rng.randint(0, 9999)}" for _ in range(12)) for _ in range(9)]
+        rows.append((len(rows), "\n".join(lines)))
+        often = list(lines)
+        often[4:5] = [lines[4]] * 50  # the line's shingles outnumber all others; few are new
+        rows.append((len(rows), "\n".join(often)))
+        w = " ".join(lines).split()
+        for k in rng.sample(range(5, len(w) - 5), 2):
+            w[k] = f"n{rng.randint(0, 9999)}"
+        rows.append((len(rows), " ".join(w)))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows if (w := t.split())}
+    root = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if root[a] != root[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = root[a], root[b]
+                root = {i: min(x, y) if r in (x, y) else r for i, r in root.items()}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for options in ({}, {"orders": 1, "radius": 3}):  # what the gates refuse is found all the same
+        assert {r.key: r.root for r in near_dedup.near_copy_groups(df, **options).collect()} == root
