@@ -155,21 +155,19 @@ def leaks_of(text: str | None, index: ItemIndex) -> list[tuple[int, float, int,
             continue
         shared = np.concatenate([[0.0], np.cumsum(np.where(hit, index.weights[place], 0.0))])
         for size in np.unique(index.sizes[likely]):
-            span = int(size) - n + 1
-            if span > len(runs):
-                continue
+            span = min(int(size) - n + 1, len(runs))  # a text shorter than the item is one window
             least = index.totals[likely[index.sizes[likely] == size]].min()
             # what a window shares with all items bounds what it shares with one
             for at in np.flatnonzero(shared[span:] - shared[:-span] >= index.threshold * least - 1e-9):
                 if full is None:  # words that no item has need their own hashes now
                     full = np.fromiter(map(word_hash, words), np.uint64, len(words))
-                window = shingles(full[at : at + int(size)], n)
+                window = shingles(full[at : at + span + n - 1], n)
                 found = index.near(weighted_print(window, index.weights_of(window)))
                 counts = Counter(window.tolist())
                 for k in found[index.sizes[found] == size]:
                     s = similarity(counts, index.counts[k], index.by_shingle, index.rare)
                     if s >= index.threshold and (k not in best or s > best[k][0]):
-                        best[int(k)] = (s, int(at), int(size))
+                        best[int(k)] = (s, int(at), span + n - 1)
     return [(index.ids[k], *v) for k, v in sorted(best.items())]
 
 
@@ -192,7 +190,7 @@ def indexes(benchmark: DataFrame, words: int = 5, radius: int = 16, threshold: f
 def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``doc_id, item_id, similarity, start, words``: for each text and benchmark item it holds, the best window.
 
-    Windows have the item's number of words; similarity is the weighted Jaccard similarity of their
+    Windows have the item's number of words, and a shorter text is one window; similarity is the weighted Jaccard similarity of their
     shingles of ``words`` words, a shingle weighing more the fewer items have it; ``threshold`` or more
     is a leak. ``start`` counts words. Null and blank texts leak nothing; items without a word are left
     out; repeated rows are reported as often as they come; an empty table on either side gives an

@@ -96,3 +96,13 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert got == [(4, 1), (5, 1), (5, 1), (6, 2), (7, 2)]
     assert decontaminate.find_leaks(no_docs, bench).count() == 0 and decontaminate.find_leaks(odd_docs, bench.limit(0)).count() == 0
     assert decontaminate.drop_leaks(odd_docs, bench).columns == odd_docs.columns
+
+
+def test_texts_shorter_than_the_item(spark):
+    words = [f"b{i}" for i in range(50)]
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, "some other item of eight words is here")], "item_id long, text string")
+    texts = [" ".join(words[:48]), " ".join(words[1:]), " ".join(words[4:46]), " ".join(words[:30]), "some other item of eight words is", "b1"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.similarity, r.start, r.words) for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert got == {(0, 1): (pytest.approx(44 / 46), 0, 48), (1, 1): (pytest.approx(45 / 46), 0, 49), (2, 1): (pytest.approx(38 / 46), 0, 42)}
+    assert {r.doc_id for r in decontaminate.drop_leaks(docs, bench).collect()} == {3, 4, 5}
