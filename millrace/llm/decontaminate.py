@@ -8,7 +8,7 @@ within the radius, and an exact weighted-shingle similarity decides.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import ChainMap, Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -79,6 +79,7 @@ class ItemIndex:
     holders: np.ndarray  # items that hold each of ``known``, one after the other
     starts: np.ndarray  # where they start, and the end
     rare: float  # weight of a shingle that no item has
+    others: tuple[np.ndarray, np.ndarray]  # sorted shingles that several items of any block have, and their weights
     prints: np.ndarray
     blocks: list[tuple[int, int, dict[int, np.ndarray]]]  # shift, mask, value -> items
     radius: int
@@ -87,7 +88,11 @@ class ItemIndex:
 
     def weights_of(self, hashes: np.ndarray) -> np.ndarray:
         place = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-        return np.where(self.known[place] == hashes, self.weights[place], self.rare)
+        rest, weights = np.full(len(hashes), self.rare), self.others
+        if len(weights[0]):
+            at = np.minimum(np.searchsorted(weights[0], hashes), len(weights[0]) - 1)
+            rest = np.where(weights[0][at] == hashes, weights[1][at], self.rare)
+        return np.where(self.known[place] == hashes, self.weights[place], rest)
 
     def promising(self, place: np.ndarray) -> np.ndarray:
         """Items of which a text with these of ``known`` (repeats included) has weight enough somewhere."""
@@ -105,16 +110,21 @@ class ItemIndex:
         return items[np.bitwise_count(self.prints[items] ^ np.uint64(fingerprint)) <= self.radius]
 
 
-def build_index(items: list[tuple[int, str]], n: int, radius: int, threshold: float) -> ItemIndex:
-    """Items without a word are left out; an item of fewer than ``n`` words is one shingle."""
+def build_index(items: list[tuple[int, str]], n: int, radius: int, threshold: float, whole: tuple[int, np.ndarray, np.ndarray] | None = None) -> ItemIndex:
+    """Items without a word are left out; an item of fewer than ``n`` words is one shingle.
+
+    ``whole`` is what ``benchmark_spread`` gives, if there are more items than these.
+    """
     items = [(i, w) for i, t in items if i is not None and (w := words_of(t))]
     vocabulary = {w: k for k, w in enumerate(sorted({x for _, w in items for x in w}), 1)}
     word_hashes = np.array([0, *map(word_hash, vocabulary)], np.uint64)
     hashes = [shingles(word_hashes[[vocabulary[x] for x in w]], min(n, len(w))) for _, w in items]
     spread = Counter(chain.from_iterable(set(h.tolist()) for h in hashes))
     known = np.array(sorted(spread), np.uint64)
-    weights = np.log1p(len(items) / np.array([spread[int(s)] for s in known], float))
-    rare = float(np.log1p(len(items)))
+    total, several, held_by = whole or (len(items), np.empty(0, np.uint64), np.empty(0))
+    often = dict(zip(several.tolist(), held_by.tolist()))
+    weights = np.log1p(total / np.array([often.get(int(s), spread[int(s)]) for s in known], float))
+    rare = float(np.log1p(total))
     by_shingle = dict(zip(known.tolist(), weights.tolist()))
     counts = [Counter(h.tolist()) for h in hashes]
     totals = np.array([sum(n * by_shingle[x] for x, n in c.items()) for c in counts])
@@ -122,7 +132,7 @@ def build_index(items: list[tuple[int, str]], n: int, radius: int, threshold: fl
     starts = np.concatenate([[0], np.cumsum([spread[int(x)] for x in known])]).astype(np.int64)
     holders = np.array([k for _, k in held], np.int64)
     sizes = np.array([len(w) for _, w in items], np.int64)
-    index = ItemIndex([i for i, _ in items], hashes, sizes, vocabulary, word_hashes, known, weights, by_shingle, counts, totals, holders, starts, rare, np.empty(0, np.uint64), [], radius, threshold, n)
+    index = ItemIndex([i for i, _ in items], hashes, sizes, vocabulary, word_hashes, known, weights, by_shingle, counts, totals, holders, starts, rare, (several, np.log1p(total / held_by)), np.empty(0, np.uint64), [], radius, threshold, n)
     index.prints = np.array([weighted_print(h, index.weights_of(h)) for h in hashes], np.uint64)
     edges = [round(k * 64 / (radius + 1)) for k in range(radius + 2)]
     for a, b in zip(edges, edges[1:]):
@@ -162,10 +172,11 @@ def leaks_of(text: str | None, index: ItemIndex) -> list[tuple[int, float, int,
                 if full is None:  # words that no item has need their own hashes now
                     full = np.fromiter(map(word_hash, words), np.uint64, len(words))
                 window = shingles(full[at : at + span + n - 1], n)
-                found = index.near(weighted_print(window, index.weights_of(window)))
-                counts = Counter(window.tolist())
+                heavy = index.weights_of(window)
+                found = index.near(weighted_print(window, heavy))
+                counts, weights = Counter(window.tolist()), ChainMap(dict(zip(window.tolist(), heavy.tolist())), index.by_shingle)
                 for k in found[index.sizes[found] == size]:
-                    s = similarity(counts, index.counts[k], index.by_shingle, index.rare)
+                    s = similarity(counts, index.counts[k], weights, index.rare)
                     if s >= index.threshold and (k not in best or s > best[k][0]):
                         best[int(k)] = (s, int(at), span + n - 1)
     return [(index.ids[k], *v) for k, v in sorted(best.items())]
@@ -183,8 +194,37 @@ def item_blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text",
         yield [(r.k, r.t) for r in rows.where(F.pmod(F.xxhash64("k"), F.lit(n)) == b).orderBy("k", "t").collect()]
 
 
+def benchmark_spread(benchmark: DataFrame, n: int, key: str = "item_id", text: str = "text") -> tuple[int, np.ndarray, np.ndarray]:
+    """How many items the whole benchmark has, and the sorted shingles that several of them have, with their number of items.
+
+    Counted by a distributed aggregation; what comes to the driver is 16 bytes for each shingle of several items.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[int | None] = []
+            for value in batch.column(0):
+                if w := words_of(value.as_py()):
+                    hashes = np.fromiter(map(word_hash, w), np.uint64, len(w))
+                    found += [None, *np.unique(shingles(hashes, min(n, len(w)))).view(np.int64).tolist()]  # null stands for the item
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["shingle"])
+
+    rows = benchmark.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(text))
+    counted = map_arrow(rows, run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1 OR shingle IS NULL").toArrow()
+    held, n_items = counted.column("shingle").combine_chunks(), counted.column("n").to_numpy()
+    null = held.is_null().to_numpy(zero_copy_only=False)
+    several, held_by = held.drop_null().to_numpy().view(np.uint64), n_items[~null].astype(float)
+    order = np.argsort(several)
+    return int(n_items[null].sum()), several[order], held_by[order]
+
+
 def indexes(benchmark: DataFrame, words: int = 5, radius: int = 16, threshold: float = 0.8, block_bytes: int = 16 << 20) -> list[ItemIndex]:
-    return [build_index(block, words, radius, threshold) for block in item_blocks(benchmark, block_bytes=block_bytes)]
+    blocks = item_blocks(benchmark, block_bytes=block_bytes)
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
+        return []
+    whole = benchmark_spread(benchmark, words) if second is not None else None
+    return [build_index(block, words, radius, threshold, whole) for block in chain([first], [] if second is None else [second], blocks)]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -106,3 +106,14 @@ def test_texts_shorter_than_the_item(spark):
     got = {(r.doc_id, r.item_id): (r.similarity, r.start, r.words) for r in decontaminate.find_leaks(docs, bench).collect()}
     assert got == {(0, 1): (pytest.approx(44 / 46), 0, 48), (1, 1): (pytest.approx(45 / 46), 0, 49), (2, 1): (pytest.approx(38 / 46), 0, 42)}
     assert {r.doc_id for r in decontaminate.drop_leaks(docs, bench).collect()} == {3, 4, 5}
+
+
+def test_blocks_change_no_similarity(spark):
+    items, texts = leak_case()
+    common = [f"c{i}" for i in range(14)]  # a passage of every second item
+    items = [(i, f"{t} {' '.join(common)}" if t and i is not None and i % 2 else t) for i, t in items]
+    texts += [(100 + i, f"{t} {' '.join(common[:10])} end") for i, t in items if t and i is not None]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    found = [{(r.doc_id, r.item_id): r.similarity for r in decontaminate.find_leaks(docs, bench, block_bytes=n, threshold=0.5).collect()} for n in (1 << 24, 2000, 600)]
+    assert len(found[0]) >= 15 and found[1] == pytest.approx(found[0]) and found[2] == pytest.approx(found[0])
