@@ -133,7 +133,7 @@ def nearest_vectors(
     A query's ``first`` lists are scanned before the others, which then give only what is better than
     the k-th found so far.
     """
-    fine = cut_lineage(usable(rows, key, column))
+    fine = cut_lineage(usable(rows, key, column).distinct())
     same = Window.partitionBy("vector").orderBy("vec_id")
     kept = fine.withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1).drop("n")
     facts = fine.agg(F.count("*").alias("n"), F.sqrt(F.max(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))).alias("longest")).first()
@@ -196,28 +196,32 @@ def nearest_vectors(
                 continue
             rough = q @ x.T
             slack = 1e-9 * np.abs(rough).max()
-            need = min(k + 1, len(x))
+            # an id may have several vectors: so many rows hold k + 1 different ids
+            need = min((k + 1) * int(np.unique(xid, return_counts=True)[1].max()), len(x))
             least = np.maximum(np.partition(rough, len(x) - need, axis=1)[:, len(x) - need], cell.column("bound").to_numpy()[asks])
             i, j = np.nonzero(rough >= (least - slack)[:, None])
             i, j = i[qid[i] != xid[j]], j[qid[i] != xid[j]]
             score = np.einsum("ij,ij->i", q[i], x[j])  # the same for equal vectors, wherever they stand
             order = np.lexsort((xid[j], -score, i))
             i, j, score = i[order], j[order], score[order]
+            _, best_of = np.unique(np.stack([qid[i], xid[j]]), axis=1, return_index=True)  # the first of an id is its best
+            best_of.sort()
+            i, j, score = i[best_of], j[best_of], score[best_of]
             place = np.arange(len(i)) - np.searchsorted(i, i)
             best = place < k
             yield pa.RecordBatch.from_arrays([pa.array(qid[i[best]]), pa.array(xid[j[best]]), pa.array(score[best])], names=["query_id", "vec_id", "score"])
 
-    # a row in several lists has equal scores in all of them: dense ranks count it once
+    # an id in several lists, or with several vectors, counts once, with its best score
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
     def best(found: DataFrame) -> DataFrame:
-        ranked = found.withColumn("rank", F.dense_rank().over(order)).where(F.col("rank") <= k)
-        return ranked.dropDuplicates(["query_id", "rank"])
+        once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
     early = cut_lineage(best(scanned(looks.where(F.col("nth") < first).select("list", "vec_id", "vector", F.lit(float("-inf")).alias("bound")))))
     bounds = early.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count("*") == k, F.min("score")).otherwise(float("-inf")).alias("bound"))
     late = looks.where(F.col("nth") >= first).join(bounds, "vec_id", "left").select("list", "vec_id", "vector", F.coalesce("bound", F.lit(float("-inf"))).alias("bound"))
-    return best(early.drop("rank").union(scanned(late))).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return best(early.select("query_id", "vec_id", "score").union(scanned(late))).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def neighbour_digest(embeddings: DataFrame) -> DataFrame:

@@ -117,3 +117,22 @@ def test_blocks_change_no_similarity(spark):
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     found = [{(r.doc_id, r.item_id): r.similarity for r in decontaminate.find_leaks(docs, bench, block_bytes=n, threshold=0.5).collect()} for n in (1 << 24, 2000, 600)]
     assert len(found[0]) >= 15 and found[1] == pytest.approx(found[0]) and found[2] == pytest.approx(found[0])
+
+
+def test_repeated_rows_take_no_places(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 8)).astype(np.float32)
+    x[40] = x[41] = x[20] * 3
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [rows[40]] * 60 + [(77, (x[20] * (2 + n / 100)).tolist()) for n in range(40)]  # a repeated row; an id of many vectors
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.neighbour_digest(df).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    best = {}
+    for i, a in rows:
+        for j, b in rows:
+            if i % 20 == 0 and i != j:
+                best[i, j] = max(best.get((i, j), -np.inf), float(np.asarray(a, float) @ np.asarray(b, float)))
+    for q in range(0, 300, 20):
+        assert [v for _, v in sorted(got[q])] == sorted((j for i, j in best if i == q), key=lambda j: (-best[q, j], j))[:20]
