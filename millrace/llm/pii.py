@@ -34,7 +34,7 @@ GENERATORS = (
     ("phone", r"(?<![0-9+])(?:\([0-9]{2,5}\) ?|[0-9]{2,5}[-. /])[0-9]{2,4}[-. ][0-9]{2,5}(?![0-9])"),
     ("id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     ("id", r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?![A-Z0-9])"),
-    ("secret", r"(?i)(?<![a-z0-9])(?:api[_-]?key|access[_-]?key|token|secret|passw(?:or)?d)[\"' ]{0,3}[:=][\"' ]{0,3}[a-z0-9_\-./+]{8,200}+"),
+    ("secret", r"(?i)(?<![a-z0-9])(?:api[_-]?key|access[_-]?key|token|secret|passw(?:or)?d)[\"' ]{0,3}[:=][\"' ]{0,3}[a-z0-9_\-./+]{8,}+"),
 )
 KINDS = ("email", "ip", "card", "phone", "id", "secret")
 #: Words that speak for personal data just before a span, and words that speak for other numbers.
@@ -281,9 +281,9 @@ def joined(spans: Column) -> Column:
 
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, text`` with every span replaced by its kind in angle brackets."""
-    spans = find_pii(docs.select(F.struct(F.col(key), F.col(text)).alias("row"), F.col(text).alias("text")), "row")
+    spans = find_pii(docs.select(F.struct(F.col(key), F.col(text)).alias("row"), F.col(text).alias("text")), "row").withColumnRenamed("doc_id", "row")
     every = F.sort_array(F.transform(F.concat("base", "more"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    whole = F.col("doc_id")[text]
+    whole = F.col("row")[text]
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(a: Column, s: Column) -> Column:
@@ -295,7 +295,7 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     def rest(a: Column) -> Column:
         return F.concat(a["out"], F.substring(whole, a["at"] + 1, F.length(whole)))
 
-    return spans.select(F.col("doc_id")[key].alias(key), F.when(whole.isNotNull(), F.aggregate(every, zero, step, rest)).alias(text))
+    return spans.select(F.col("row")[key].alias(key), F.when(whole.isNotNull(), F.aggregate(every, zero, step, rest)).alias(text))
 
 
 def pii_digest(documents: DataFrame) -> DataFrame:

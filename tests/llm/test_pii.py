@@ -81,3 +81,11 @@ def test_odd_rows(odd_docs, no_docs):
     rows = pii.pii_digest(odd_docs.withColumnRenamed("n_chars", "base")).collect()
     assert len(rows) == 11 and all(r.spans == "" for r in rows)
     assert pii.pii_digest(no_docs).count() == 0
+
+
+def test_long_secrets_are_redacted_whole(spark):
+    key = hashlib.sha512(b"a").hexdigest() * 4
+    text = f'token = "{key[:500]}" end'
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = pii.redact(df).first().text
+    assert "<secret>" in got and not any(key[i : i + 20] in got for i in range(480)) and got.endswith("end")
