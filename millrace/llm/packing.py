@@ -68,6 +68,20 @@ def best_knapsack(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple
     return float(best[capacity]), counts
 
 
+def inverse_of(basis: np.ndarray) -> np.ndarray:
+    """By elimination with row exchanges. A threaded BLAS's inverse was seen to wait for ever in a process that had started a JVM."""
+    m = len(basis)
+    both = np.hstack([basis, np.eye(m)])
+    for k in range(m):
+        best = k + int(np.abs(both[k:, k]).argmax())
+        both[[k, best]] = both[[best, k]]
+        both[k] /= both[k, k]
+        rest = both[:, k].copy()
+        rest[k] = 0
+        both -= np.outer(rest, both[k])
+    return both[:, m:]
+
+
 def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1e-4, rounds: int = 4000) -> list[tuple[np.ndarray, float]]:
     """Fractional pattern counts that cover ``demand`` with about the fewest sequences.
 
@@ -78,13 +92,13 @@ def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: fl
     m = len(sizes)
     basis = np.diag((capacity // sizes).astype(float))
     inverse = np.diag(1.0 / basis.diagonal())
-    amount = inverse @ demand
+    amount = (inverse * demand).sum(1)
     for i in range(rounds):
         prices = inverse.sum(0)
         value, column = best_knapsack(sizes, np.maximum(prices, 0), capacity)
         if value <= 1 + gap:
             break
-        step = inverse @ column
+        step = (inverse * column).sum(1)  # sums, as no product here needs a threaded BLAS
         with np.errstate(divide="ignore", invalid="ignore"):
             ratio = np.where(step > 1e-9, amount / step, np.inf)
         leave = int(ratio.argmin())
@@ -92,8 +106,8 @@ def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: fl
             break
         basis[:, leave] = column
         if i % 200 == 199:  # from time to time afresh, so that rounding errors don't add up
-            inverse = np.linalg.inv(basis)
-            amount = np.maximum(inverse @ demand, 0)
+            inverse = inverse_of(basis)
+            amount = np.maximum((inverse * demand).sum(1), 0)
             continue
         amount = np.maximum(amount - ratio[leave] * step, 0)
         amount[leave] = ratio[leave]

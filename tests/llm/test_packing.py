@@ -60,6 +60,13 @@ def test_odd_rows(odd_docs, no_docs):
     assert packing.pack_documents(no_docs, *FILES).count() == 0
 
 
+def test_inverse_by_elimination():
+    rng = np.random.default_rng(9)
+    for m in (1, 7, 128):
+        basis = rng.integers(0, 5, (m, m)) + np.eye(m) * 9
+        assert np.allclose(packing.inverse_of(basis) @ basis, np.eye(m), atol=1e-8)
+
+
 def test_patterns_cover_the_histogram():
     rng = random.Random(4)
     histogram = {s: rng.randint(1, 300) for s in range(1, 129)}
