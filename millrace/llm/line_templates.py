@@ -1,85 +1,124 @@
 """Line dedup by a log-template tree, in DataFrame expressions alone.
 
-A line's tokens are its lower-cased words; those that hold digits, if they
-are no more than half, are variable from the start. The tree
-has a fixed depth: number of tokens, then the leading tokens. In a leaf, the places where most distinct
-lines agree are the template's constants and the others its variable fields; a line near enough to them
-takes that template, any other line is its own. A template that recurs in several texts is dropped
-wherever it stands, but for one place.
+A line's tokens are its lower-cased words; those that hold digits, if they are no more than half, are
+variable from the start. The tree has a fixed depth: number of tokens, the leading tokens, and then
+``splits`` levels that part the lines that fit no template yet by the token that most of them share. In a
+group, the places where most distinct lines agree are the template's constants and the others its
+variable fields; a line near enough to them takes that template. A line that no group's template takes
+is its own. A template that recurs in several texts is dropped wherever it stands, but for one place.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, join_counted
 
 VARIABLE = "<*>"
-#: Leaves (8 bytes each) that are broadcast after they were counted; more are joined by a shuffle.
-BROADCAST_LEAVES = 1_000_000
+#: A token that holds a digit.
+HOLED = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
+CONTENT = ["c1", "c2"]
 
 
-def content_number(text: Column) -> Column:
-    """60 bits of the MD5 of a text: copies of one text count as one text."""
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+def content_numbers(text: Column) -> list[Column]:
+    """``c1, c2``: 120 bits of the MD5 of a text, in the digest's order; copies of one text count as one text."""
+    digest = F.md5(text.cast("binary"))
+    return [F.conv(F.substring(digest, at, 15), 16, 10).cast("long").alias(name) for at, name in zip((1, 16), CONTENT)]
 
 
 def lines_of(docs: DataFrame, text: str, depth: int) -> DataFrame:
-    """A row per line that isn't blank: text's number, place, form, and the keys of leaf and line (two hashes each).
+    """A row per line that isn't blank: text's numbers, place, tokens ``n``, form, leaf, and two hashes ``a, b`` of the form.
 
-    A line's form is its tokens with one blank between them. What only few texts need, because of digits
-    or other white space than single blanks, is decided once for a text.
+    A line's form is its tokens with one blank between them. Columns that several others use are made one
+    after the other, as the planner would else compute them anew for each.
     """
     t = F.col(text)
-    texts = docs.where(t.isNotNull()).select(content_number(t).alias("content"), t.rlike("[0-9]").alias("digits"), t.rlike(r"[\t\r\x0b\x0c]|  ").alias("odd"), F.split(t, "\n").alias("lines"))
-    lines = texts.select("content", "digits", "odd", F.posexplode("lines").alias("place", "line"))
-    low = F.lower("line")
-    spaced = F.trim(F.when(F.col("odd"), F.regexp_replace(low, r"\s+", " ")).otherwise(low))
-    holed = r"[^ ]*[0-9][^ ]*"
-    words = F.length(spaced) - F.length(F.replace(spaced, F.lit(" "), F.lit(""))) + 1
+    odd = reduce(Column.__or__, (t.contains(x) for x in ("  ", "\t", "\r", "\x0b", "\x0c")))
+    texts = docs.where(t.isNotNull()).select(*content_numbers(t), odd.alias("odd"), F.split(F.lower(t), "\n").alias("lines"))
+    # outer, though no text is without lines: else the planner splits it once more to see that it has some
+    lines = texts.select(*CONTENT, "odd", F.posexplode_outer("lines").alias("place", "line"))
+    spaced = F.trim(F.when(F.col("odd"), F.regexp_replace("line", r"\s+", " ")).otherwise(F.col("line")))
+    rows = lines.select(*CONTENT, "place", spaced.alias("spaced")).where("spaced <> ''")
+    words = F.octet_length("spaced") - F.octet_length(F.replace("spaced", F.lit(" "), F.lit(""))) + 1
+    counted = rows.select(*CONTENT, "place", "spaced", words.alias("n"))
     # a line that is mostly numbers has too few constants to be a template
-    sparse = F.regexp_count(spaced, F.lit(holed)) * 2 <= words
-    form = F.when(F.col("digits") & sparse, F.regexp_replace(spaced, holed, VARIABLE)).otherwise(spaced)
-    rows = lines.select("content", "place", form.alias("form")).where("form <> ''")
-    n = F.length("form") - F.length(F.replace("form", F.lit(" "), F.lit(""))) + 1
-    head = F.substring_index("form", " ", depth)
-    return rows.select("content", "place", n.alias("n"), "form", F.xxhash64(n, head).alias("leaf"), F.xxhash64("form").alias("a"), F.xxhash64(F.lit(1), "form").alias("b"))
+    sparse = F.regexp_count("spaced", F.lit(HOLED)) * 2 <= F.col("n")
+    form = F.when(F.col("spaced").rlike("[0-9]") & sparse, F.regexp_replace("spaced", HOLED, VARIABLE)).otherwise(F.col("spaced"))
+    formed = counted.select(*CONTENT, "place", "n", form.alias("form"))
+    leaf = F.xxhash64("n", F.substring_index("form", " ", depth))
+    return formed.select("*", leaf.alias("leaf"), F.xxhash64("form").alias("a"), F.xxhash64(F.lit(1), "form").alias("b"))
+
+
+def group_templates(lines: DataFrame, similar: float) -> DataFrame:
+    """``lines`` (``g, a, b, tokens``) with ``taken``: whether a line takes its group's template.
+
+    A place is constant if more than half of the group's lines, and two at least, have the same token there.
+    """
+    sizes = cut_lineage(lines.groupBy("g").agg(F.count("*").alias("lines")).where("lines > 1"))
+    votes = lines.select("g", F.posexplode("tokens").alias("i", "t")).groupBy("g", "i", "t").agg(F.count("*").alias("votes")).where("votes >= 2")
+    constants = join_counted(votes, sizes.withColumn("size", F.col("lines")), ["g"], "lines").where("votes * 2 > size")
+    # a group has one constant for each place at most
+    templates = constants.groupBy("g").agg(F.first("size").alias("lines"), F.collect_list(F.struct("i", "t")).alias("constants"))
+    hits = F.size(F.filter("constants", lambda c: F.get("tokens", c["i"]) == c["t"]))
+    met = join_counted(lines, cut_lineage(templates), ["g"], "lines", "left")
+    return met.select("g", "a", "b", "tokens", F.coalesce(hits >= similar * F.size("tokens"), F.lit(False)).alias("taken"))
 
 
-def leaf_templates(docs: DataFrame, keys: DataFrame, text: str, depth: int, similar: float, least: int) -> DataFrame:
-    """``leaf, a, b, template`` of the lines that take their leaf's template.
+def split_groups(lines: DataFrame, depth: int) -> DataFrame:
+    """``lines`` with their next group: that of the token, behind the leading ones, that most lines of the group share.
 
-    Only leaves of two or more different lines are opened, and each different line once. A place is
-    constant if more than half of the leaf's lines, and two at least, have the same token there.
+    Ties go to the first place. A token that all lines of a group have parts nothing; lines that share no other are left out.
+    """
+    single = lines.select("g", "a", "b", F.posexplode("tokens").alias("i", "t")).where(F.col("i") >= depth)
+    sizes = cut_lineage(lines.groupBy("g").agg(F.count("*").alias("lines")).where("lines > 1"))
+    votes = single.groupBy("g", "i", "t").agg(F.count("*").alias("votes")).where("votes >= 2")
+    parting = cut_lineage(join_counted(votes, sizes.withColumn("size", F.col("lines")), ["g"], "lines").where("votes < size").select("g", "i", "t", "votes", F.col("votes").alias("v")))
+    top = 1 << 24  # more tokens than a line has; votes and place in one number are aggregated without a sort
+    best = join_counted(single, parting, ["g", "i", "t"], "votes").groupBy("a", "b").agg(F.max(F.col("v") * top + (top - 1 - F.col("i"))).alias("best"))
+    place = (F.lit(top - 1) - F.col("best") % top).cast("int")
+    named = lines.join(best, ["a", "b"]).withColumn("i", place)
+    return named.select(F.xxhash64("g", "i", F.get("tokens", F.col("i"))).alias("g"), "a", "b", "tokens")
+
+
+def line_templates(docs: DataFrame, shared: DataFrame, text: str, depth: int, similar: float, least: int, splits: int) -> DataFrame:
+    """``a, b, g`` of the lines that take a template, that of group ``g``.
+
+    ``shared`` has the lines of leaves that several texts have. Only leaves of two or more different lines
+    are opened, and each different line once.
     """
-    # per leaf: do at least two different lines, from at least two texts, meet there?
-    leaves = keys.where(F.col("n") >= least).groupBy("leaf").agg(F.min("a").alias("x"), F.max("a").alias("y"), F.min("content").alias("c"), F.max("content").alias("d")).where("x <> y AND c <> d").select("leaf")
-    leaves = cut_lineage(leaves)
-    few = leaves.count() <= BROADCAST_LEAVES
-    lines = lines_of(docs, text, depth).where(F.col("n") >= least).select("leaf", "a", "b", "form").join(F.broadcast(leaves) if few else leaves, "leaf")
-    known = lines.groupBy("leaf", "a", "b").agg(F.any_value("form").alias("form")).select("leaf", "a", "b", F.split("form", " ").alias("tokens"))
-    known = cut_lineage(known)
-    sizes = known.groupBy("leaf").agg(F.count("*").alias("lines"))
-    votes = known.select("leaf", F.posexplode("tokens").alias("i", "token")).groupBy("leaf", "i", "token").agg(F.count("*").alias("votes")).where("votes >= 2")
-    constants = votes.join(sizes, "leaf").where("votes * 2 > lines")
-    # a leaf has one constant for each place at most
-    templates = constants.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("i", "token"))).alias("constants"))
-    hits = F.size(F.filter("constants", lambda c: F.get("tokens", c["i"]) == c["token"]))
-    close = known.join(templates, "leaf").where(hits >= similar * F.size("tokens"))
-    return close.select("leaf", "a", "b", F.xxhash64("constants").alias("template"))
-
-
-def dropped_lines(docs: DataFrame, text: str = "text", depth: int = 3, similar: float = 0.8, least: int = 5, texts: int = 2) -> DataFrame:
-    """``content, places``: the lines of each text (by ``content_number``) whose template recurs elsewhere."""
+    leaves = shared.where(F.col("n") >= least).groupBy("leaf").agg(F.min("a").alias("x"), F.max("a").alias("y"), F.count("*").alias("rows"))
+    leaves = cut_lineage(leaves.where("x <> y").select("leaf", "rows"))
+    forms = join_counted(lines_of(docs, text, depth).where(F.col("n") >= least), leaves, ["leaf"], "rows").select("leaf", "a", "b", "form").distinct()
+    rest = cut_lineage(forms.select(F.col("leaf").alias("g"), "a", "b", F.transform(F.split("form", " "), lambda x: F.xxhash64(x)).alias("tokens")))
+    found = []
+    for level in range(splits + 1):
+        tried = cut_lineage(group_templates(rest, similar))
+        found.append(tried.where("taken").select("a", "b", "g"))
+        if level < splits:
+            rest = cut_lineage(split_groups(tried.where("NOT taken"), depth))
+    return reduce(DataFrame.union, found)
+
+
+def dropped_lines(docs: DataFrame, text: str = "text", depth: int = 3, similar: float = 0.8, least: int = 5, texts: int = 2, splits: int = 2) -> DataFrame:
+    """``c1, c2, places, n``: the lines of each text whose template recurs elsewhere, and how many rows have the text."""
     keys = cut_lineage(lines_of(docs, text, depth).drop("form"))
-    found = leaf_templates(docs, keys, text, depth, similar, least)
-    named = keys.join(found, ["leaf", "a", "b"], "left").select("content", "place", F.coalesce("template", "a").alias("s"), F.when(F.col("template").isNull(), F.col("b")).otherwise(F.col("leaf")).alias("t"))
+    several = keys.groupBy("leaf").agg(*(f(c).alias(f"{f.__name__}_{c}") for c in CONTENT for f in (F.min, F.max)), F.count("*").alias("rows"))
+    several = cut_lineage(several.where("min_c1 <> max_c1 OR min_c2 <> max_c2").select("leaf", "rows"))
+    shared = cut_lineage(join_counted(keys, several, ["leaf"], "rows"))
+    found = line_templates(docs, shared, text, depth, similar, least, splits)
+    found = cut_lineage(found.join(shared.groupBy("a", "b").agg(F.count("*").alias("rows")), ["a", "b"]))
+    named = join_counted(shared.select(*CONTENT, "place", "a", "b"), found, ["a", "b"], "rows", "left").select(*CONTENT, "place", F.coalesce("g", "a").alias("s"), F.when(F.col("g").isNull(), F.col("b")).alias("t"))
+    named = named.select(*CONTENT, "place", "s", F.coalesce("t", F.lit(0)).alias("t"))
     # a text's repeats are folded first, so that a template's texts are counted, not its lines
-    per_text = named.groupBy("s", "t", "content").agg(F.min("place").alias("place"))
-    recurring = per_text.groupBy("s", "t").agg(F.count("*").alias("texts"), F.min(F.struct("content", "place")).alias("first")).where(F.col("texts") >= texts).select("s", "t", "first")
-    gone = named.join(recurring, ["s", "t"]).where((F.col("content") != F.col("first.content")) | (F.col("place") != F.col("first.place")))
-    return gone.groupBy("content").agg(F.collect_set("place").alias("places"))
+    per_text = named.groupBy("s", "t", *CONTENT).agg(F.min("place").alias("place"), F.count("*").alias("rows"))
+    recurring = per_text.groupBy("s", "t").agg(F.count("*").alias("texts"), F.sum("rows").alias("rows"), F.min(F.struct(*CONTENT, "place")).alias("first"))
+    recurring = cut_lineage(recurring.where(F.col("texts") >= texts).select("s", "t", "rows", "first"))
+    gone = join_counted(named, recurring, ["s", "t"], "rows").where(F.struct(*CONTENT, "place") != F.col("first"))
+    # each copy of a text has sent its places once
+    return gone.groupBy(*CONTENT).agg(F.collect_set("place").alias("places"), F.count("*").alias("sent")).select(*CONTENT, "places", F.expr("sent div size(places)").alias("n"))
 
 
 def drop_recurring_lines(docs: DataFrame, text: str = "text", counts: bool = False, **options) -> DataFrame:
@@ -89,17 +128,23 @@ def drop_recurring_lines(docs: DataFrame, text: str = "text", counts: bool = Fal
     keep the same lines. One place, the first line of the text with the smallest MD5, keeps it. ``depth`` leading
     tokens and the token count lead to a leaf; ``similar`` is the share of a line's places that must be
     the template's constants, for lines of ``least`` tokens or more; shorter lines only match themselves.
+    A leaf holds one template and, for lines that don't fit it, ``splits`` more levels of groups.
     Blank lines are never dropped; null texts stay null; a text whose lines all go becomes empty. With
     ``counts``, columns ``n_lines`` and ``n_dropped`` are added (in place of such columns). Key columns
     of ``docs`` may be null or repeat. An empty table gives an empty result.
     """
-    gone = dropped_lines(docs.select(text), text, **options).withColumnsRenamed({"content": "__content", "places": "__places"})
-    joined = docs.withColumn("__content", content_number(F.col(text))).join(gone, "__content", "left")
+    gone = cut_lineage(dropped_lines(docs.select(text), text, **options))
+    names = ["__c1", "__c2", "__places", "__n"]
+    numbered = docs.select("*", *(c.alias(n) for c, n in zip(content_numbers(F.col(text)), names)))
+    joined = join_counted(numbered, gone.toDF(*names), names[:2], "__n", "left", few=0)
     pieces = F.split(text, "\n")
-    flagged = joined.withColumn("__kept", F.when(F.col("__places").isNull(), F.col(text)).otherwise(F.array_join(F.filter(pieces, lambda x, i: ~F.array_contains("__places", i)), "\n")))
+    left = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), "__places")
+    # the text is split once, and its lines taken by number
+    kept = F.get(F.transform(F.array(pieces), lambda p: F.array_join(F.transform(left, lambda i: F.get(p, i)), "\n")), 0)
+    changed = F.when(F.col("__places").isNull(), F.col(text)).otherwise(kept)
     added = {"n_lines": F.coalesce(F.size(pieces), F.lit(0)).cast("long"), "n_dropped": F.coalesce(F.size("__places"), F.lit(0)).cast("long")} if counts else {}
-    columns = [F.col("__kept").alias(c) if c == text else F.col(c) for c in docs.columns if c not in added]
-    return flagged.select(*columns, *(c.alias(n) for n, c in added.items()))
+    columns = [changed.alias(c) if c == text else F.col(c) for c in docs.columns if c not in added]
+    return joined.select(*columns, *(c.alias(n) for n, c in added.items()))
 
 
 def line_digest(documents: DataFrame) -> DataFrame:
@@ -107,24 +152,41 @@ def line_digest(documents: DataFrame) -> DataFrame:
     return drop_recurring_lines(documents.select("doc_id", "text"), counts=True)
 
 
+def _levels(splits: int) -> str:
+    """SQL of the levels below the leaf: the lines of group level k are ``lines{k}``, those that take a template ``close{k}``."""
+    out = ""
+    for k in range(splits + 1):
+        out += f"""
+single{k} AS (SELECT grp, tokens, n, unnest(tokens) AS token, unnest(range(n)) AS i FROM lines{k}),
+sizes{k} AS (SELECT grp, count(*) AS lines FROM lines{k} GROUP BY grp),
+votes{k} AS (SELECT grp, i, token, count(*) AS votes FROM single{k} GROUP BY ALL),
+constants{k} AS (SELECT grp, i, token FROM votes{k} JOIN sizes{k} USING (grp) WHERE votes >= 2 AND votes * 2 > lines),
+close{k} AS MATERIALIZED (SELECT grp, tokens FROM single{k} JOIN constants{k} USING (grp, i, token) GROUP BY grp, tokens, n HAVING count(*) >= CAST(0.8 AS DOUBLE) * n),"""
+        if k < splits:
+            out += f"""
+rest{k} AS MATERIALIZED (SELECT l.* FROM lines{k} l ANTI JOIN close{k} c ON l.grp = c.grp AND l.tokens = c.tokens),
+apart{k} AS (SELECT grp, tokens, n, unnest(tokens) AS token, unnest(range(n)) AS i FROM rest{k}),
+left{k} AS (SELECT grp, count(*) AS lines FROM rest{k} GROUP BY grp),
+parting{k} AS (SELECT grp, i, token, votes FROM (SELECT grp, i, token, count(*) AS votes FROM apart{k} WHERE i >= 3 GROUP BY ALL) JOIN left{k} USING (grp) WHERE votes >= 2 AND votes < lines),
+lines{k + 1} AS MATERIALIZED (SELECT grp || ' ' || best.i || ' ' || best.token AS grp, tokens, n FROM
+  (SELECT grp, tokens, n, arg_max({{'i': i, 'token': token}}, votes * 16777216 - i) AS best FROM apart{k} JOIN parting{k} USING (grp, i, token) GROUP BY grp, tokens, n)),"""
+    return out
+
+
 #: DuckDB SQL for ``line_digest`` with its default parameters.
-ORACLE = r"""
-WITH docs AS (SELECT doc_id, text, CAST('0x' || substr(md5(text), 1, 15) AS BIGINT) AS content FROM documents),
+ORACLE = rf"""
+WITH docs AS (SELECT doc_id, text, substr(md5(text), 1, 30) AS content FROM documents),
 texts AS (SELECT DISTINCT content, text FROM docs WHERE text IS NOT NULL),
 pieces AS (SELECT content, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS place FROM texts),
 plain AS (SELECT content, place, string_split(trim(regexp_replace(lower(line), '\s+', ' ', 'g')), ' ') AS w FROM pieces WHERE regexp_matches(line, '\S')),
 words AS (SELECT content, place, CASE WHEN len(list_filter(w, lambda x: regexp_matches(x, '[0-9]'))) * 2 <= len(w)
   THEN list_transform(w, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) ELSE w END AS tokens FROM plain),
-keyed AS (SELECT content, place, tokens, len(tokens) AS n, (len(tokens) || ' ' || array_to_string(tokens[1:3], ' ')) AS leaf FROM words),
-leaves AS (SELECT leaf FROM keyed WHERE n >= 5 GROUP BY leaf HAVING min(tokens) <> max(tokens) AND min(content) <> max(content)),
-known AS (SELECT DISTINCT leaf, tokens, n FROM keyed WHERE n >= 5 AND leaf IN (SELECT leaf FROM leaves)),
-sizes AS (SELECT leaf, count(*) AS lines FROM known GROUP BY leaf),
-single AS (SELECT leaf, tokens, n, unnest(tokens) AS token, unnest(range(n)) AS i FROM known),
-votes AS (SELECT leaf, i, token, count(*) AS votes FROM single GROUP BY ALL),
-constants AS (SELECT leaf, i, token FROM votes JOIN sizes USING (leaf) WHERE votes >= 2 AND votes * 2 > lines),
-close AS (SELECT leaf, tokens FROM single JOIN constants USING (leaf, i, token) GROUP BY leaf, tokens, n HAVING count(*) >= CAST(0.8 AS DOUBLE) * n),
-named AS (SELECT k.content, k.place, CASE WHEN c.leaf IS NULL THEN '=' || array_to_string(k.tokens, ' ') ELSE '~' || k.leaf END AS template
-  FROM keyed k LEFT JOIN close c ON k.leaf = c.leaf AND k.tokens = c.tokens),
+keyed AS MATERIALIZED (SELECT content, place, tokens, len(tokens) AS n, (len(tokens) || ' ' || array_to_string(tokens[1:3], ' ')) AS leaf FROM words),
+leaves AS (SELECT leaf FROM keyed GROUP BY leaf HAVING min(content) <> max(content)),
+lines0 AS MATERIALIZED (SELECT DISTINCT leaf AS grp, tokens, n FROM keyed WHERE n >= 5 AND leaf IN (SELECT leaf FROM leaves)),{_levels(2)}
+close AS (SELECT grp, tokens FROM close0 UNION ALL SELECT grp, tokens FROM close1 UNION ALL SELECT grp, tokens FROM close2),
+named AS (SELECT k.content, k.place, CASE WHEN c.grp IS NULL THEN '=' || array_to_string(k.tokens, ' ') ELSE '~' || c.grp END AS template
+  FROM keyed k LEFT JOIN close c ON k.tokens = c.tokens),
 per_text AS (SELECT template, content, min(place) AS place FROM named GROUP BY ALL),
 recurring AS (SELECT template, min(content) AS c, arg_min(place, content) AS p FROM per_text GROUP BY template HAVING count(*) >= 2),
 gone AS (SELECT n.content, n.place FROM named n JOIN recurring r USING (template) WHERE n.content <> r.c OR n.place <> r.p),

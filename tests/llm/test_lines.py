@@ -2,6 +2,7 @@ import os
 
 import pytest
 
+from millrace.llm import common
 from millrace.llm import line_templates as lt
 from millrace.llm.queries import ORACLE, QUERIES
 
@@ -24,6 +25,26 @@ def test_variable_fields(spark):
     assert sum("logged in" in t for t in drop(spark, [f"{x}\nown {i} text {'z' * i}" for i, x in enumerate(lines)], similar=0.5)) == 1
 
 
+def test_families_in_one_leaf(spark):
+    """Three families of lines share token count and leading tokens; each recurs with other words in one place."""
+    families = ["see the notes {} this page was written by our staff", "see the notes {} all rights stay with their first owner", "see the notes {} open every day but not on sundays"]
+    texts = [f"{f.format('w' + x)}\nown {x} {'xyz'[k]}" for k, f in enumerate(families) for x in "abcdefg"]
+    kept = drop(spark, texts)
+    assert sum("see the notes" in t for t in kept) == 3
+    assert all(t.split("\n")[1] in "\n".join(kept) for t in texts)
+    assert sum("see the notes" in t for t in drop(spark, texts, splits=0)) > 3
+
+
+def test_hot_keys_apart(spark, monkeypatch):
+    """Tables too large to broadcast give the same rows, hot keys broadcast and the rest shuffled."""
+    texts = [f"one line that stands in each of them\nline {x} that only one of these texts has {x * 2}\n{'and this in some' if i % 3 else 'x' * i}" for i, x in enumerate("abcdefghijkl")]
+    want = drop(spark, texts)
+    for few, share in ((0, 1000), (0, 3)):
+        monkeypatch.setattr(lt, "join_counted", lambda *a, few=few, **k: common.join_counted(*a, **{**k, "few": few}))
+        monkeypatch.setattr(common, "HOT_SHARE", share)
+        assert drop(spark, texts) == want
+
+
 def test_unlike_lines_stay(spark):
     texts = ["the big red fox jumps over some lazy dogs", "the big red house stands near our old river"]
     assert drop(spark, texts) == texts
