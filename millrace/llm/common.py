@@ -18,7 +18,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Keys that are broadcast after they were counted; of more, only the hot ones are.
-BROADCAST_KEYS = 500_000
+BROADCAST_KEYS = 30_000
+#: The same for tables of a single number.
+BROADCAST_NUMBERS = 500_000
 #: A key is hot if it has more than one of so many rows; there are fewer such keys than this.
 HOT_SHARE = 1000
 

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, join_counted
+from .common import BROADCAST_NUMBERS, cut_lineage, join_counted
 
 VARIABLE = "<*>"
 #: A token that holds a digit.
@@ -91,7 +91,7 @@ def line_templates(docs: DataFrame, shared: DataFrame, text: str, depth: int, si
     """
     leaves = shared.where(F.col("n") >= least).groupBy("leaf").agg(F.min("a").alias("x"), F.max("a").alias("y"), F.count("*").alias("rows"))
     leaves = cut_lineage(leaves.where("x <> y").select("leaf", "rows"))
-    forms = join_counted(lines_of(docs, text, depth).where(F.col("n") >= least), leaves, ["leaf"], "rows").select("leaf", "a", "b", "form").distinct()
+    forms = join_counted(lines_of(docs, text, depth).where(F.col("n") >= least), leaves, ["leaf"], "rows", few=BROADCAST_NUMBERS).select("leaf", "a", "b", "form").distinct()
     rest = cut_lineage(forms.select(F.col("leaf").alias("g"), "a", "b", F.transform(F.split("form", " "), lambda x: F.xxhash64(x)).alias("tokens")))
     found = []
     for level in range(splits + 1):
@@ -107,7 +107,7 @@ def dropped_lines(docs: DataFrame, text: str = "text", depth: int = 3, similar:
     keys = cut_lineage(lines_of(docs, text, depth).drop("form"))
     several = keys.groupBy("leaf").agg(*(f(c).alias(f"{f.__name__}_{c}") for c in CONTENT for f in (F.min, F.max)), F.count("*").alias("rows"))
     several = cut_lineage(several.where("min_c1 <> max_c1 OR min_c2 <> max_c2").select("leaf", "rows"))
-    shared = cut_lineage(join_counted(keys, several, ["leaf"], "rows"))
+    shared = cut_lineage(join_counted(keys, several, ["leaf"], "rows", few=BROADCAST_NUMBERS))
     found = line_templates(docs, shared, text, depth, similar, least, splits)
     found = cut_lineage(found.join(shared.groupBy("a", "b").agg(F.count("*").alias("rows")), ["a", "b"]))
     named = join_counted(shared.select(*CONTENT, "place", "a", "b"), found, ["a", "b"], "rows", "left").select(*CONTENT, "place", F.coalesce("g", "a").alias("s"), F.when(F.col("g").isNull(), F.col("b")).alias("t"))
