@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of a tile: two tiles make a comparison of at most TILE x TILE.
@@ -153,53 +153,59 @@ def links_in_buckets(buckets: DataFrame, by: list[str], sets: DataFrame, similar
     return dealt.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def prefix_keys(sets: DataFrame, similar: float) -> DataFrame:
-    """``member, rep``: of each set so many members, in one order for all, that any two sets at ``similar`` share one.
+def member_order(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Members that several sets of a bounded sample (``members``) have, sorted, and how many have them: at most ``ORDER_MEMBERS``, the commonest."""
+    seen = sets.select(F.explode("members").alias("member")).groupBy("member").count().where("count > 1")
+    often = seen.orderBy(F.desc("count"), "member").limit(ORDER_MEMBERS).toPandas().sort_values("member")
+    return often["member"].to_numpy(np.int64), often["count"].to_numpy(np.int64)
+
+
+def prefix_of(members: np.ndarray, similar: float, order: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """So many members, in one order for all sets, that any two sets at ``similar`` share one.
 
     Of n members at least ``similar * n`` must be in the other set too, so the first
     ``n - ceil(similar * n) + 1`` can't all be missing there. The order is free; members that are common
-    in a bounded sample come last, so that few sets meet without need.
+    in a sample come last, so that few sets meet without need.
     """
-    seen = sets.limit(ORDER_ROWS).select(F.explode("members").alias("member")).groupBy("member").count().where("count > 1")
-    often = seen.orderBy(F.desc("count"), "member").limit(ORDER_MEMBERS).orderBy("member").toPandas()
-    shared = sets.sparkSession.sparkContext.broadcast((often["member"].to_numpy(np.int64), often["count"].to_numpy(np.int64)))
+    common, counts = order
+    rank = np.zeros(len(members), np.int64)
+    if len(common):
+        place = np.minimum(np.searchsorted(common, members), len(common) - 1)
+        rank = np.where(common[place] == members, counts[place], 0)
+    least = int(np.ceil(similar * len(members) - 1e-9))
+    return members[np.lexsort((members, rank))[: len(members) - least + 1]]
+
+
+def prefixes(sets: DataFrame, similar: float, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """``rep, members``: of each set (``rep, members``) its prefix (``prefix_of``)."""
+    shared = sets.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, counts = shared.value
         for batch in batches:
-            taken = []
-            for one in batch.column(1):
-                m = one.values.to_numpy()
-                rank = np.zeros(len(m), np.int64)
-                if len(common):
-                    place = np.minimum(np.searchsorted(common, m), len(common) - 1)
-                    rank = np.where(common[place] == m, counts[place], 0)
-                least = int(np.ceil(similar * len(m) - 1e-9))
-                taken.append(m[np.lexsort((m, rank))[: len(m) - least + 1]])
-            rows = np.repeat(np.arange(len(taken)), [len(t) for t in taken])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *taken])), batch.column(0).take(pa.array(rows))], names=["member", "rep"])
-
-    return sets.select("rep", "members").mapInArrow(run, f"member long, rep {dict(sets.dtypes)['rep']}")
-
-
-def similar_components(sets_of: Callable[[DataFrame | None], DataFrame], chosen: DataFrame, links: DataFrame, similar: float) -> DataFrame:
+            taken = [prefix_of(one.values.to_numpy(), similar, shared.value) for one in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(taken, pa.list_(pa.int64()))], names=["rep", "members"])
+
+    return sets.select("rep", "members").mapInArrow(run, f"rep {dict(sets.dtypes)['rep']}, members array<long>")
+
+
+def similar_components(heads: DataFrame, sets_of: Callable[[DataFrame], DataFrame], chosen: DataFrame, links: DataFrame, similar: float) -> DataFrame:
     """``node, root`` of the graph of all pairs of sets at a Jaccard similarity of ``similar``.
 
-    ``sets_of`` gives ``rep, members`` (distinct 64-bit hashes) of the ids ``rep`` of a table, or of all;
-    it is called anew where sets are read, as all of them together can be larger than the input. Ids
-    that aren't in ``chosen`` (``rep``), such as copies, take no part.
+    ``heads`` has the prefix of each set (``rep, members``), ``sets_of`` gives ``rep, members`` (distinct 64-bit hashes) of the ids ``rep`` of a table.
+    Ids that aren't in ``chosen`` (``rep``), such as copies, take no part.
     ``links`` (``a, b``) are some true links found by cheaper means: they save comparisons and decide
     nothing. Every other pair that can be at ``similar`` meets by its prefixes and is compared exactly.
-    Empty sets link to none.
+    Empty sets link to none. Members are shuffled once, each with its set's id and root, and those that sets of one root have go at once.
     """
     found = cut_lineage(connected_components(links, "a", "b"))
-    keys = cut_lineage(prefix_keys(sets_of(None), similar).join(chosen, "rep", "left_semi"))
-    several = keys.groupBy("member").agg(F.count("*").alias("n")).where("n > 1").select("member")
-    known = keys.join(several, "member").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    known = cut_lineage(known.select("member", "rep", F.coalesce("root", "rep").alias("root")))
-    mixed = known.groupBy("member").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("p"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("q")).where("x <> y")
+    labels = chosen.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("root", "rep").alias("root"))
+    known = heads.join(labels, "rep").select(F.explode("members").alias("member"), "rep", "root")
+    met = Window.partitionBy("member")
+    marks = {"x": F.min("root"), "y": F.max("root"), "n": F.count("*"), "p": F.bit_xor(F.xxhash64("rep")), "q": F.bit_xor(F.xxhash64(F.lit(1), "rep"))}
+    mixed = cut_lineage(known.withColumns({c: f.over(met) for c, f in marks.items()}).where("x <> y").drop("x", "y"))
     # members that the same sets have make one bucket
-    buckets = cut_lineage(known.join(mixed.groupBy("n", "p", "q").agg(F.min("member").alias("member")).select("member"), "member"))
+    buckets = mixed.join(mixed.groupBy("n", "p", "q").agg(F.min("member").alias("member")).select("member"), "member").select("member", "rep", "root")
+    buckets = cut_lineage(buckets)
     wanted = cut_lineage(sets_of(buckets.select("rep").distinct()))
     more = links_in_buckets(buckets, ["member"], wanted, similar)
     return connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), "a", "b")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text, sha256
-from .alike import cut_lineage, links_in_buckets, similar_components
+from .alike import ORDER_ROWS, cut_lineage, links_in_buckets, member_order, prefixes, similar_components
 
 #: Common function words of each language.
 STOP_WORDS = {
@@ -92,9 +92,8 @@ def minhash_pairs(docs: DataFrame, threshold: float = 0.8, bands: int = 8, rows:
     """
     texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
 
-    def sets_of(ids: DataFrame | None) -> DataFrame:
-        some = texts if ids is None else texts.join(ids.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
-        return shingle_sets(some).withColumnRenamed("doc_id", "rep")
+    def sets_of(ids: DataFrame) -> DataFrame:
+        return shingle_sets(texts.join(ids.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")).withColumnRenamed("doc_id", "rep")
 
     signature = minhash_signature(F.col("members"), bands * rows).alias("s")
     signed = cut_lineage(shingle_sets(texts).select("doc_id", F.struct(F.xxhash64("members").alias("x"), F.xxhash64(F.lit(1), "members").alias("y"), F.size("members").alias("n")).alias("c"), signature))
@@ -106,7 +105,10 @@ def minhash_pairs(docs: DataFrame, threshold: float = 0.8, bands: int = 8, rows:
     different = marks.groupBy("n", "p", "q").agg(F.min(F.struct("band", "bucket")).alias("k")).select("k.band", "k.bucket")
     buckets = cut_lineage(banded.join(different, ["band", "bucket"]))
     links = cut_lineage(links_in_buckets(buckets, ["band", "bucket"], cut_lineage(sets_of(buckets.select("rep").distinct())), threshold))
-    roots = similar_components(sets_of, chosen, links, threshold).withColumnsRenamed({"node": "rep", "root": "near_id"})
+    share = max(1, reps.count() // ORDER_ROWS)
+    order = member_order(sets_of(chosen.where(F.pmod(F.xxhash64("rep"), F.lit(share)) == 0)))
+    heads = prefixes(shingle_sets(texts).withColumnRenamed("doc_id", "rep"), threshold, order)
+    roots = similar_components(heads, sets_of, chosen, links, threshold).withColumnsRenamed({"node": "rep", "root": "near_id"})
     near = signed.select("doc_id", "c").join(reps.select("c", "rep"), "c").join(roots, "rep", "left").select("doc_id", F.coalesce("near_id", "rep").alias("near_id"))
     near = cut_lineage(near.where("doc_id <> near_id").distinct())
     sets = cut_lineage(sets_of(near.select(F.col("doc_id").alias("rep")).union(near.select("near_id")).distinct()))
