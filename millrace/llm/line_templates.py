@@ -15,18 +15,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_NUMBERS, cut_lineage, join_counted
+from .common import BROADCAST_NUMBERS, CONTENT, content_numbers, cut_lineage, join_counted
 
 VARIABLE = "<*>"
 #: A token that holds a digit.
 HOLED = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
-CONTENT = ["c1", "c2"]
-
-
-def content_numbers(text: Column) -> list[Column]:
-    """``c1, c2``: 120 bits of the MD5 of a text, in the digest's order; copies of one text count as one text."""
-    digest = F.md5(text.cast("binary"))
-    return [F.conv(F.substring(digest, at, 15), 16, 10).cast("long").alias(name) for at, name in zip((1, 16), CONTENT)]
 
 
 def lines_of(docs: DataFrame, text: str, depth: int) -> DataFrame:

@@ -14,12 +14,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.alike import SET_TILE, similar_components, tiled
-from .common import cut_lineage, map_arrow, stream_groups
+from ..operators.alike import ORDER_ROWS, SET_TILE, member_order, prefix_of, similar_components, tiled
+from .common import BROADCAST_KEYS, CONTENT, content_numbers, cut_lineage, join_counted, map_arrow, stream_groups
 from .components import connected_components
 from .simhash import fingerprint, shingle_hashes, words_of
 
@@ -142,60 +141,57 @@ def least_shingles(hashes: np.ndarray, orders: int) -> list[int]:
         return [int((hashes * a + b).min().view(np.int64)) if len(hashes) else 0 for a, b in _ORDERS[:orders]]
 
 
-def sketches(docs: DataFrame, key: str, text: str, words: int, orders: int) -> DataFrame:
-    """``key, c1, c2, fp, least`` of each row: two hashes of the words, the fingerprint of the different shingles, the least shingles."""
-    kind = dict(docs.dtypes)[key]
+def numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, c1, c2, text``: null counts as the empty text."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    return docs.select(F.col(key).alias("key"), *content_numbers(t), t.alias("text"))
+
+
+def sketches(texts: DataFrame, words: int, orders: int) -> DataFrame:
+    """``key, c1, c2, n, fp, least`` of each row: different shingles, their fingerprint, the least ones."""
+    names, kind = ["key", *CONTENT, "n", "fp", "least"], dict(texts.dtypes)["key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for value in batch.column(1):
-                w = words_of(value.as_py())
-                h = np.unique(shingle_hashes(w, words))  # sets, as in the similarity: a repeated passage has no more votes
-                whole = xxhash.xxh3_128_digest(b" ".join(w))
-                rows.append((*np.frombuffer(whole, np.int64).tolist(), fingerprint(h), least_shingles(h, orders)))
-            c1, c2, fp, least = zip(*rows) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(least, pa.list_(pa.int64()))], names=["key", "c1", "c2", "fp", "least"]
-            )
+            for value in batch.column(3):
+                h = np.unique(shingle_hashes(words_of(value.as_py()), words))  # sets, as in the similarity: a repeated passage has no more votes
+                rows.append((len(h), np.uint64(fingerprint(h)).view(np.int64), least_shingles(h, orders)))
+            n, fp, least = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int32()), pa.array(fp, pa.int64()), pa.array(least, pa.list_(pa.int64()))], names=names)
+
+    return map_arrow(texts, run, f"key {kind}, c1 long, c2 long, n int, fp long, least array<long>")
 
-    return map_arrow(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), run, f"key {kind}, c1 long, c2 long, fp long, least array<long>")
 
+def _sets(texts: DataFrame, words: int, prefix: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """``c1, c2, members``: the shingles of each text, or what ``prefix`` takes of them."""
 
-def _shingle_sets(docs: DataFrame, text: str, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(words_of(v.as_py()), words)).view(np.int64) for v in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "shingles"])
+            sets = (np.unique(shingle_hashes(words_of(v.as_py()), words).view(np.int64)) for v in batch.column(2))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([prefix(s) if prefix else s for s in sets], pa.list_(pa.int64()))], names=[*CONTENT, "members"])
 
-    return map_arrow(docs.select("rep", F.col(text).alias("text")), run, "rep long, shingles array<long>")
+    return map_arrow(texts.select(*CONTENT, "text"), run, "c1 long, c2 long, members array<long>")
 
 
-def near_copy_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similar: float = 0.8, radius: int = 20, orders: int = 6) -> DataFrame:
-    """``key, rep, root`` of every row with a key: rep is the least key with the same words, root the least of its group.
-
-    Two texts link if the Jaccard similarity of their sets of ``words``-word shingles is ``similar`` or
-    more. Pairs that share one of ``orders`` least shingles and differ in at most ``radius`` fingerprint
-    bits are compared first, which finds nearly all links; every other pair that can be at ``similar``
-    then meets by its prefixes (``similar_components``), so that neither gate decides anything. Texts
-    without words have the same words. Keys must be whole numbers; rows with a null key are not returned.
-    """
-    rows = cut_lineage(sketches(docs.where(F.col(key).isNotNull()), key, text, words, orders))
-    reps = rows.groupBy("c1", "c2").agg(F.min("key").cast("long").alias("rep"), F.first("fp").alias("fp"), F.first("least").alias("least"))
-    reps = cut_lineage(reps)
-    keyed = reps.select("rep", "fp", F.posexplode("least").alias("order", "least"))
+def _suspects(classes: DataFrame, radius: int) -> DataFrame:
+    """``order, least, uid, fp`` of texts that share a least shingle with another one within ``radius`` bits."""
+    keyed = classes.select("uid", "fp", F.posexplode("least").alias("order", "least"))
+    marks = keyed.groupBy("order", "least").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("uid")).alias("p"), F.bit_xor(F.xxhash64(F.lit(1), "uid")).alias("q")).where("n > 1")
+    # least shingles that the same texts have make one bucket
+    different = marks.groupBy("n", "p", "q").agg(F.min(F.struct("order", "least")).alias("k")).select("k.order", "k.least")
     by = ["order", "least", "lo", "hi"]
-    pairs = tiled(keyed, ["order", "least"], F.xxhash64("rep")).repartition(*by).sortWithinPartitions(*by).select(*by, "rep", "fp")
+    pairs = tiled(cut_lineage(keyed.join(different, ["order", "least"])), by[:2], F.xxhash64("uid")).repartition(*by).sortWithinPartitions(*by).select(*by, "uid", "fp")
 
-    def suspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in stream_groups(batches, by):
             prints = group.column("fp").to_numpy().view(np.uint64)
             order = np.argsort(np.bitwise_count(prints), kind="stable")
-            ids, prints = group.column("rep").to_numpy()[order], prints[order]
-            counts, met = np.bitwise_count(prints).astype(np.int16), np.zeros(len(ids), bool)
-            for a in range(0, len(ids), 256):
-                for b in range(a, len(ids), 256):
-                    if counts[b] - counts[min(a + 256, len(ids)) - 1] > radius:
+            prints = prints[order]
+            counts, met = np.bitwise_count(prints).astype(np.int16), np.zeros(len(prints), bool)
+            for a in range(0, len(prints), 256):
+                for b in range(a, len(prints), 256):
+                    if counts[b] - counts[min(a + 256, len(prints)) - 1] > radius:
                         break
                     near = np.bitwise_count(prints[a : a + 256, None] ^ prints[None, b : b + 256]) <= radius
                     if a == b:
@@ -203,54 +199,122 @@ def near_copy_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", w
                     met[a : a + 256] |= near.any(1)
                     met[b : b + 256] |= near.any(0)
             if met.any():
-                names = [*by[:2], "rep", "fp"]
+                names = [*by[:2], "uid", "fp"]
                 one = group.take(pa.array(order[met]))
                 yield pa.RecordBatch.from_arrays([one.column(n).combine_chunks() for n in names], names=names)
 
-    suspects = cut_lineage(map_arrow(pairs, suspect, "order int, least long, rep long, fp long").distinct())
-    texts = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("rep"), F.col(text))
+    return map_arrow(pairs, run, "order int, least long, uid long, fp long").distinct()
 
-    def sets_of(ids: DataFrame | None) -> DataFrame:
-        some = texts if ids is None else texts.join(ids, "rep", "left_semi").dropDuplicates(["rep"])
-        return _shingle_sets(some, text, words).withColumnRenamed("shingles", "members")
 
-    sets = cut_lineage(sets_of(suspects.select("rep").distinct()).withColumnRenamed("members", "shingles"))
-    dealt = tiled(suspects, ["order", "least"], F.xxhash64("rep"), SET_TILE).join(sets, "rep").repartition(*by).sortWithinPartitions(*by)
+def _sketched_links(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], words: int, similar: float, radius: int) -> DataFrame:
+    """``a, b``: a spanning forest of the links between texts that the sketches bring together, by exact sets of shingles.
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    The texts themselves are shuffled, which are half as large as their sets, and each task makes the sets it needs.
+    """
+    suspects = cut_lineage(_suspects(classes, radius))
+    wanted = classes.join(suspects.select("uid").distinct(), "uid", "left_semi").select(*CONTENT, "uid", "copies")
+    texts = texts_of(cut_lineage(wanted))
+    by = ["order", "least", "lo", "hi"]
+    dealt = tiled(suspects, by[:2], F.xxhash64("uid"), SET_TILE).join(texts, "uid").select(*by, "uid", "fp", "text").repartition(*by).sortWithinPartitions(*by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in stream_groups(batches, by):
-            ids, prints = group.column("rep").to_numpy(), group.column("fp").to_numpy().view(np.uint64)
-            sets = [np.asarray(s.values.to_numpy()) for s in group.column("shingles")]
-            forest = Forest(len(ids))
+            ids, prints, texts = group.column("uid").to_numpy(), group.column("fp").to_numpy().view(np.uint64), group.column("text")
+            sets: dict[int, np.ndarray] = {}
+
+            def set_of(i: int) -> np.ndarray:
+                if i not in sets:
+                    sets[i] = np.unique(shingle_hashes(words_of(texts[i].as_py()), words))
+                return sets[i]
 
             def alike(i: int, j: int) -> bool:
-                a, b = sets[i], sets[j]
-                if not len(a) or not len(b) or min(len(a), len(b)) < similar * max(len(a), len(b)):
+                a, b = set_of(int(i)), set_of(int(j))
+                if min(len(a), len(b)) < similar * max(len(a), len(b)):
                     return False
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 return both >= similar * (len(a) + len(b) - both)
 
+            forest = Forest(len(ids))
             tile_links(prints, radius, forest, alike)
             linked = forest.label != np.arange(len(ids))
             if linked.any():
                 yield pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(ids[forest.label[linked]])], names=["a", "b"])
 
-    links = map_arrow(dealt.select(*by, "rep", "fp", "shingles"), verify, "a long, b long")
-    roots = similar_components(sets_of, reps.select("rep").distinct(), cut_lineage(links), similar).withColumnRenamed("node", "rep")
-    classes = reps.select("c1", "c2", "rep").join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    return rows.join(classes, ["c1", "c2"]).select("key", "rep", "root")
+    return map_arrow(dealt, run, "a long, b long")
+
+
+def _classes(docs: DataFrame, key: str, text: str, words: int, similar: float, radius: int, orders: int) -> tuple[DataFrame, DataFrame]:
+    """Rows as ``key, c1, c2``, and the different texts as ``c1, c2, copies, least, root``.
+
+    least is the least key of a text, and root (``unkeyed, least, c1, c2``) the first text of its group by that key.
+    """
+    texts = numbered(docs, key, text)
+    rows = cut_lineage(sketches(texts, words, orders))
+    classes = rows.groupBy(*CONTENT).agg(F.count("*").alias("copies"), F.min("key").alias("first"), *(F.any_value(c).alias(c) for c in ("n", "fp", "least")))
+    classes = cut_lineage(classes.withColumn("uid", F.monotonically_increasing_id()))  # lasts, as it is written here
+    filled = classes.where("n > 0")
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        """``uid, c1, c2, text`` of ``wanted`` (``c1, c2, uid, copies``), once each."""
+        met = join_counted(texts.select(*CONTENT, "text"), wanted, CONTENT, "copies", few=BROADCAST_KEYS * 4)
+        return met.groupBy("uid", *CONTENT).agg(F.any_value("text").alias("text"))
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        wanted = cut_lineage(classes.join(ids.withColumnRenamed("rep", "uid"), "uid", "left_semi").select(*CONTENT, "uid", "copies"))
+        return _sets(texts_of(wanted), words).join(wanted, CONTENT).select(F.col("uid").alias("rep"), "members")
+
+    links = cut_lineage(_sketched_links(filled, texts_of, words, similar, radius))
+    share = max(1, classes.count() // ORDER_ROWS)
+    order = member_order(_sets(texts.where(F.pmod("c1", F.lit(share)) == 0).dropDuplicates(CONTENT), words))
+    shared = docs.sparkSession.sparkContext.broadcast(order)
+    heads = _sets(texts, words, lambda s: prefix_of(s, similar, shared.value)).dropDuplicates(CONTENT)
+    heads = heads.join(filled.select(*CONTENT, "uid"), CONTENT).select(F.col("uid").alias("rep"), "members")
+    roots = cut_lineage(similar_components(heads, sets_of, filled.select(F.col("uid").alias("rep")), links, similar))
+    blank = classes.where("n = 0").agg(F.min("uid")).first()[0]  # texts without words are one group
+    group = F.when(F.col("n") == 0, F.lit(blank)).otherwise(F.coalesce("root", "uid"))
+    grouped = cut_lineage(classes.join(roots.withColumnRenamed("node", "uid"), "uid", "left").select(*CONTENT, "copies", "first", group.alias("group")))
+    heads_of = grouped.groupBy("group").agg(F.min(F.struct(F.col("first").isNull().alias("unkeyed"), "first", *CONTENT)).alias("root"))
+    return rows.select("key", *CONTENT), cut_lineage(grouped.join(heads_of, "group").select(*CONTENT, "copies", "first", "root"))
+
+
+def near_copy_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similar: float = 0.8, radius: int = 20, orders: int = 6) -> DataFrame:
+    """``key, root`` of every row: root is the least key of its group (null if no row of it has one).
+
+    Two texts link if the Jaccard similarity of their sets of ``words``-word shingles is ``similar`` or
+    more. Pairs that share one of ``orders`` least shingles and differ in at most ``radius`` fingerprint
+    bits are compared first, which finds nearly all links; every other pair that can be at ``similar``
+    then meets by its prefixes (``similar_components``), so that neither gate decides anything. Equal
+    texts are one from the start; texts without words, null ones too, are one group. Groups are of texts, so rows that
+    share a key can be in several.
+    """
+    rows, classes = _classes(docs, key, text, words, similar, radius, orders)
+    return join_counted(rows, classes.select(*CONTENT, "copies", F.col("root.first").alias("root")), CONTENT, "copies").select("key", "root")
 
 
-def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each group of near copies (``near_copy_groups``): the one with the least key.
+def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similar: float = 0.8, radius: int = 20, orders: int = 6) -> DataFrame:
+    """``docs`` with one row of each group of near copies (``near_copy_groups``): the one with the least key, null last.
 
-    Of rows that repeat a kept key, the first by text stays. Rows with a null key belong to no group and
-    all stay. Texts without words are one group. An empty table gives an empty result.
+    Rows go by their group alone: different texts that share a key all stay. Of rows with the same key
+    and text one stays. Texts without words are one group. An empty table gives an empty result.
     """
-    gone = near_copy_groups(docs, key, text, **options).where(F.col("key") != F.col("root")).select(F.col("key").alias(key)).distinct()
-    left = docs.where(F.col(key).isNotNull()).join(gone, key, "left_anti").select(*docs.columns)
-    twice = left.groupBy(key).count().where("count > 1").select(key)
-    once = left.join(twice, key, "left_anti").select(*docs.columns)
-    order = Window.partitionBy(key).orderBy(text)
-    first = left.join(twice, key, "left_semi").select(*docs.columns, F.row_number().over(order).alias("__nth")).where("__nth = 1").drop("__nth")
-    return once.unionByName(first).unionByName(docs.where(F.col(key).isNull()))
+    rows, classes = _classes(docs, key, text, words, similar, radius, orders)
+    mine = F.struct(F.col("first").isNull().alias("unkeyed"), "first", *CONTENT) == F.col("root")
+    judged = join_counted(rows, classes.select(*CONTENT, "copies", "first", mine.alias("mine")), CONTENT, "copies")
+    kept = F.col("mine") & F.col("key").eqNullSafe(F.col("first"))
+    counted = cut_lineage(judged.groupBy("key", *CONTENT).agg(F.count("*").alias("n"), F.bool_and(kept).alias("kept")))
+    names = ["__key", "__c1", "__c2"]
+    gone, twice = (counted.where(c).select("key", *CONTENT).toDF(*names) for c in ("NOT kept", "kept AND n > 1"))
+    n = counted.selectExpr("count_if(NOT kept) AS gone", "count_if(kept AND n > 1) AS twice").first()
+    marked = docs.select("*", *(c.alias(n) for c, n in zip(content_numbers(F.coalesce(F.col(text), F.lit(""))), names[1:])))
+
+    def matched(left: DataFrame, right: DataFrame, count: int, how: str) -> DataFrame:
+        on = left[key].eqNullSafe(right["__key"]) & (left["__c1"] == right["__c1"]) & (left["__c2"] == right["__c2"])
+        return left.join(F.broadcast(right) if count <= 4 * BROADCAST_KEYS else right, on, how)
+
+    left = matched(marked, gone, n["gone"], "left_anti")
+    if not n["twice"]:
+        return left.select(*docs.columns)
+    plain = [c for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))]
+    order = Window.partitionBy(key, *names[1:]).orderBy(F.xxhash64(*plain))
+    first = matched(left, twice, n["twice"], "left_semi").withColumn("__nth", F.row_number().over(order)).where("__nth = 1")
+    return matched(left, twice, n["twice"], "left_anti").select(*docs.columns).unionByName(first.select(*docs.columns))

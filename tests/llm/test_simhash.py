@@ -129,6 +129,14 @@ def test_dropping_odd_rows(odd_docs, no_docs):
     assert near_dedup.drop_near_copies(no_docs).count() == 0
 
 
+def test_rows_go_by_group_not_by_id(spark):
+    """Ids repeat: different texts stay, and of equal rows one; a null id comes last in its group."""
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(1, a, "x"), (1, b, "y"), (2, a, "z"), (3, b, "z"), (1, a, "w"), (None, a, "v"), (None, "no one else has these words", "u")]
+    left = near_dedup.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert sorted((str(r.doc_id), r.text) for r in left.collect()) == sorted([("1", a), ("1", b), ("None", rows[-1][1])])
+
+
 def test_near_copies_with_repeated_lines_against_brute_force(spark):
     rng = random.Random(21)
     rows = []
