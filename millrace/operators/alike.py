@@ -15,7 +15,7 @@ TILE = 2048
 #: Rows of a tile whose sets are held as well.
 SET_TILE = 256
 #: Texts and commonest members by which the order of prefixes is chosen.
-ORDER_ROWS, ORDER_MEMBERS = 20_000, 200_000
+ORDER_ROWS, ORDER_MEMBERS = 4_000, 200_000
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -176,36 +176,81 @@ def prefix_of(members: np.ndarray, similar: float, order: tuple[np.ndarray, np.n
     return members[np.lexsort((members, rank))[: len(members) - least + 1]]
 
 
+def tally_of(members: np.ndarray) -> bytes:
+    """How many members (64-bit hashes) have each of the 256 first bytes; none if a count is beyond a byte.
+
+    Two sets share at most the sum of the lesser counts.
+    """
+    counts = np.bincount(members.view(np.uint64) >> np.uint64(56), minlength=256)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def may_link(tallies: list[bytes], roots: np.ndarray, similar: float) -> np.ndarray:
+    """Which rows can, by their tallies, be at ``similar`` with a row of another root; a row without a tally can with any."""
+    if not all(tallies):
+        return np.ones(len(roots), bool)
+    counts = np.frombuffer(b"".join(tallies), np.uint8).reshape(len(roots), 256)
+    sizes, met = counts.sum(1, dtype=np.int64), np.zeros(len(roots), bool)
+    order = np.argsort(sizes, kind="stable")
+    ranked = sizes[order]
+    for at, i in enumerate(order):
+        later = order[at + 1 : np.searchsorted(ranked, sizes[i] / similar + 1e-6, "right")]
+        later = later[roots[later] != roots[i]]
+        if len(later):
+            most = np.minimum(counts[i], counts[later]).sum(1, dtype=np.int64)
+            fit = later[most >= similar * (sizes[i] + sizes[later] - most) - 1e-9]
+            met[fit] = True
+            met[i] |= bool(len(fit))
+    return met
+
+
+def promising(buckets: DataFrame, by: list[str], tallies: DataFrame, similar: float) -> DataFrame:
+    """The rows ``by, rep, root`` of buckets that can be at ``similar`` with another there, by ``tallies`` (``rep, tally``)."""
+    deal, names = [*by, "lo", "hi"], [*by, "rep", "root"]
+    dealt = tiled(buckets, by, F.xxhash64("rep")).join(tallies, "rep").repartition(*deal).sortWithinPartitions(*deal).select(*deal, "rep", "root", "tally")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in stream_groups(batches, deal):
+            met = may_link(group.column("tally").to_pylist(), group.column("root").to_numpy(), similar)
+            if met.any():
+                some = group.filter(pa.array(met))
+                yield pa.RecordBatch.from_arrays([some.column(n).combine_chunks() for n in names], names=names)
+
+    kinds = dict(buckets.dtypes)
+    return dealt.mapInArrow(run, ", ".join(f"{n} {kinds[n]}" for n in names)).distinct()
+
+
 def prefixes(sets: DataFrame, similar: float, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``rep, members``: of each set (``rep, members``) its prefix (``prefix_of``)."""
+    """``rep, members, tally``: of each set (``rep, members``) its prefix (``prefix_of``) and tally."""
     shared = sets.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            taken = [prefix_of(one.values.to_numpy(), similar, shared.value) for one in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(taken, pa.list_(pa.int64()))], names=["rep", "members"])
+            all_ = [one.values.to_numpy() for one in batch.column(1)]
+            taken, tallies = [prefix_of(m, similar, shared.value) for m in all_], [tally_of(m) for m in all_]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(taken, pa.list_(pa.int64())), pa.array(tallies, pa.binary())], names=["rep", "members", "tally"])
 
-    return sets.select("rep", "members").mapInArrow(run, f"rep {dict(sets.dtypes)['rep']}, members array<long>")
+    return sets.select("rep", "members").mapInArrow(run, f"rep {dict(sets.dtypes)['rep']}, members array<long>, tally binary")
 
 
-def similar_components(heads: DataFrame, sets_of: Callable[[DataFrame], DataFrame], chosen: DataFrame, links: DataFrame, similar: float) -> DataFrame:
+def similar_components(heads_of: Callable[[DataFrame], DataFrame], sets_of: Callable[[DataFrame], DataFrame], tallies: DataFrame, chosen: DataFrame, links: DataFrame, similar: float) -> DataFrame:
     """``node, root`` of the graph of all pairs of sets at a Jaccard similarity of ``similar``.
 
-    ``heads`` has the prefix of each set (``rep, members``), ``sets_of`` gives ``rep, members`` (distinct 64-bit hashes) of the ids ``rep`` of a table.
-    Ids that aren't in ``chosen`` (``rep``), such as copies, take no part.
+    ``heads_of`` gives ``rep, root, members`` of a table ``rep, root``, members being the prefix of each set, ``sets_of`` gives ``rep, members`` (distinct 64-bit hashes) of the ids ``rep`` of a table,
+    and ``tallies`` has ``rep, tally``. Ids that aren't in ``chosen`` (``rep``), such as copies, take no part.
     ``links`` (``a, b``) are some true links found by cheaper means: they save comparisons and decide
-    nothing. Every other pair that can be at ``similar`` meets by its prefixes and is compared exactly.
+    nothing. Every other pair that can be at ``similar`` meets by its prefixes; if tallies allow it, it is compared exactly.
     Empty sets link to none. Members are shuffled once, each with its set's id and root, and those that sets of one root have go at once.
     """
     found = cut_lineage(connected_components(links, "a", "b"))
     labels = chosen.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("root", "rep").alias("root"))
-    known = heads.join(labels, "rep").select(F.explode("members").alias("member"), "rep", "root")
+    known = heads_of(labels).select(F.explode("members").alias("member"), "rep", "root")
     met = Window.partitionBy("member")
     marks = {"x": F.min("root"), "y": F.max("root"), "n": F.count("*"), "p": F.bit_xor(F.xxhash64("rep")), "q": F.bit_xor(F.xxhash64(F.lit(1), "rep"))}
     mixed = cut_lineage(known.withColumns({c: f.over(met) for c, f in marks.items()}).where("x <> y").drop("x", "y"))
     # members that the same sets have make one bucket
     buckets = mixed.join(mixed.groupBy("n", "p", "q").agg(F.min("member").alias("member")).select("member"), "member").select("member", "rep", "root")
-    buckets = cut_lineage(buckets)
+    buckets = cut_lineage(promising(cut_lineage(buckets), ["member"], tallies, similar))
     wanted = cut_lineage(sets_of(buckets.select("rep").distinct()))
     more = links_in_buckets(buckets, ["member"], wanted, similar)
     return connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), "a", "b")

@@ -72,3 +72,23 @@ def test_minhash_against_brute_force(spark):
     got = {r.doc_id: (r.near_id, r.similarity) for r in minhash_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {i: n for i, (n, _) in got.items()} == {i: r for i, r in root.items() if i != r}
     assert all(s == pytest.approx(len(sets[i] & sets[n]) / len(sets[i] | sets[n])) for i, (n, s) in got.items())
+
+
+def test_tallies_refuse_no_link():
+    import numpy as np
+
+    from millrace.operators.alike import may_link, tally_of
+
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 40, 700):
+        base = rng.integers(-(1 << 63), 1 << 63, n)
+        sets = [base] + [np.unique(np.concatenate([base[k:], rng.integers(-(1 << 63), 1 << 63, j)])) for k, j in ((n // 10, 0), (0, n // 5), (n // 12, n // 12), (n // 2, n // 2))]
+        tallies = [tally_of(s) for s in sets]
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                both = len(np.intersect1d(a, b))
+                if i != j and both >= 0.8 * (len(a) + len(b) - both):
+                    assert may_link([tallies[i], tallies[j]], np.array([1, 2]), 0.8).all()
+        far = rng.integers(-(1 << 63), 1 << 63, 700)
+        assert n < 700 or not may_link([tallies[0], tally_of(far)], np.array([1, 2]), 0.8).any()
+    assert tally_of(np.zeros(300, np.int64)) == b"" and may_link([b"", tallies[0]], np.array([1, 2]), 0.8).all()
