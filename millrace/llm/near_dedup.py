@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.alike import ORDER_ROWS, SET_TILE, member_order, prefix_of, similar_components, tiled
+from ..operators.alike import ORDER_ROWS, SET_TILE, member_order, prefix_of, similar_components, tally_of, tiled
 from .common import BROADCAST_KEYS, CONTENT, content_numbers, cut_lineage, join_counted, map_arrow, stream_groups
 from .components import connected_components
 from .simhash import fingerprint, shingle_hashes, words_of
@@ -148,19 +148,19 @@ def numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def sketches(texts: DataFrame, words: int, orders: int) -> DataFrame:
-    """``key, c1, c2, n, fp, least`` of each row: different shingles, their fingerprint, the least ones."""
-    names, kind = ["key", *CONTENT, "n", "fp", "least"], dict(texts.dtypes)["key"]
+    """``key, c1, c2, n, fp, least, tally`` of each row: different shingles, their fingerprint, the least ones, their tally."""
+    names, kind = ["key", *CONTENT, "n", "fp", "least", "tally"], dict(texts.dtypes)["key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for value in batch.column(3):
                 h = np.unique(shingle_hashes(words_of(value.as_py()), words))  # sets, as in the similarity: a repeated passage has no more votes
-                rows.append((len(h), np.uint64(fingerprint(h)).view(np.int64), least_shingles(h, orders)))
-            n, fp, least = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int32()), pa.array(fp, pa.int64()), pa.array(least, pa.list_(pa.int64()))], names=names)
+                rows.append((len(h), np.uint64(fingerprint(h)).view(np.int64), least_shingles(h, orders), tally_of(h)))
+            n, fp, least, tally = zip(*rows) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int32()), pa.array(fp, pa.int64()), pa.array(least, pa.list_(pa.int64())), pa.array(tally, pa.binary())], names=names)
 
-    return map_arrow(texts, run, f"key {kind}, c1 long, c2 long, n int, fp long, least array<long>")
+    return map_arrow(texts, run, f"key {kind}, c1 long, c2 long, n int, fp long, least array<long>, tally binary")
 
 
 def _sets(texts: DataFrame, words: int, prefix: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
@@ -250,7 +250,7 @@ def _classes(docs: DataFrame, key: str, text: str, words: int, similar: float, r
     """
     texts = numbered(docs, key, text)
     rows = cut_lineage(sketches(texts, words, orders))
-    classes = rows.groupBy(*CONTENT).agg(F.count("*").alias("copies"), F.min("key").alias("first"), *(F.any_value(c).alias(c) for c in ("n", "fp", "least")))
+    classes = rows.groupBy(*CONTENT).agg(F.count("*").alias("copies"), F.min("key").alias("first"), *(F.any_value(c).alias(c) for c in ("n", "fp", "least", "tally")))
     classes = cut_lineage(classes.withColumn("uid", F.monotonically_increasing_id()))  # lasts, as it is written here
     filled = classes.where("n > 0")
 
@@ -267,14 +267,18 @@ def _classes(docs: DataFrame, key: str, text: str, words: int, similar: float, r
     share = max(1, classes.count() // ORDER_ROWS)
     order = member_order(_sets(texts.where(F.pmod("c1", F.lit(share)) == 0).dropDuplicates(CONTENT), words))
     shared = docs.sparkSession.sparkContext.broadcast(order)
-    heads = _sets(texts, words, lambda s: prefix_of(s, similar, shared.value)).dropDuplicates(CONTENT)
-    heads = heads.join(filled.select(*CONTENT, "uid"), CONTENT).select(F.col("uid").alias("rep"), "members")
-    roots = cut_lineage(similar_components(heads, sets_of, filled.select(F.col("uid").alias("rep")), links, similar))
+
+    def heads_of(labels: DataFrame) -> DataFrame:
+        named = filled.select(*CONTENT, F.col("uid").alias("rep")).join(labels, "rep")
+        return _sets(texts, words, lambda s: prefix_of(s, similar, shared.value)).dropDuplicates(CONTENT).join(named, CONTENT).select("rep", "root", "members")
+
+    ids = filled.select(F.col("uid").alias("rep"), "tally")
+    roots = cut_lineage(similar_components(heads_of, sets_of, ids, ids.select("rep"), links, similar))
     blank = classes.where("n = 0").agg(F.min("uid")).first()[0]  # texts without words are one group
     group = F.when(F.col("n") == 0, F.lit(blank)).otherwise(F.coalesce("root", "uid"))
     grouped = cut_lineage(classes.join(roots.withColumnRenamed("node", "uid"), "uid", "left").select(*CONTENT, "copies", "first", group.alias("group")))
-    heads_of = grouped.groupBy("group").agg(F.min(F.struct(F.col("first").isNull().alias("unkeyed"), "first", *CONTENT)).alias("root"))
-    return rows.select("key", *CONTENT), cut_lineage(grouped.join(heads_of, "group").select(*CONTENT, "copies", "first", "root"))
+    firsts = grouped.groupBy("group").agg(F.min(F.struct(F.col("first").isNull().alias("unkeyed"), "first", *CONTENT)).alias("root"))
+    return rows.select("key", *CONTENT), cut_lineage(grouped.join(firsts, "group").select(*CONTENT, "copies", "first", "root"))
 
 
 def near_copy_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similar: float = 0.8, radius: int = 20, orders: int = 6) -> DataFrame:
