@@ -14,6 +14,12 @@ from pyspark.sql import functions as F
 TILE = 2048
 #: Rows of a tile whose sets are held as well.
 SET_TILE = 256
+#: Keys that are broadcast after they were counted; of more, only the hot ones are.
+BROADCAST_KEYS = 30_000
+#: The same for tables of a single number.
+BROADCAST_NUMBERS = 500_000
+#: A key is hot if it has more than one of so many rows; there are fewer such keys than this.
+HOT_SHARE = 1000
 #: Texts and commonest members by which the order of prefixes is chosen.
 ORDER_ROWS, ORDER_MEMBERS = 4_000, 200_000
 
@@ -21,16 +27,37 @@ ORDER_ROWS, ORDER_MEMBERS = 4_000, 200_000
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder, so that a lost executor costs no recomputation.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where neither that setting nor a
-    folder set on the context exists (tests, a single machine) is a temporary one made.
+    The folder is the session's ``spark.checkpoint.dir``. Where neither that setting nor a folder set on
+    the context exists, a temporary one is made on a single machine; on a cluster that is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint"))
     return df.checkpoint(eager=True)
 
 
+def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], n: str, how: str = "inner", few: int = BROADCAST_KEYS) -> DataFrame:
+    """``rows`` joined with ``table`` on ``keys``; column ``n`` of the table tells how many rows have its key.
+
+    The table has one row a key, is cut from its lineage, and is read a few times. Up to ``few`` rows of it are broadcast.
+    Of a larger one only hot keys are, so that none of them gathers in a task, and the rest is
+    shuffled; ``how`` is inner or left. Column ``n`` goes.
+    """
+    size = table.agg(F.count("*").alias("keys"), F.sum(n).alias("rows")).first()
+    slim = table.drop(n)
+    if size["keys"] <= few:
+        return rows.join(F.broadcast(slim), keys, how)
+    hot = table.where(F.col(n) * HOT_SHARE > size["rows"]).drop(n)
+    if not hot.count():
+        return rows.join(slim, keys, how)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(cold.join(slim, keys, how))
+
+
 def stream_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Groups of consecutive rows with equal ``keys`` in a stream sorted by them.
 
@@ -64,26 +91,29 @@ def tiled(rows: DataFrame, by: list[str], salt: Column, tile: int = TILE) -> Dat
     A bucket of n rows has ceil(n / tile) tiles and each row goes to as many pairs, so that no task
     gathers a large bucket.
     """
-    sizes = rows.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1").withColumn("tiles", F.ceil(F.col("n") / tile).cast("int"))
-    dealt = rows.join(sizes.drop("n"), by).withColumn("tile", F.pmod(salt, F.col("tiles")).cast("int"))
+    sizes = cut_lineage(rows.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1").withColumn("tiles", F.ceil(F.col("n") / tile).cast("int")))
+    dealt = join_counted(rows, sizes, by, "n").withColumn("tile", F.pmod(salt, F.col("tiles")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     dealt = dealt.withColumn("lo", F.least("tile", "other")).withColumn("hi", F.greatest("tile", "other"))
     return dealt.drop("tile", "other", "tiles")
 
 
-def _star(pairs: DataFrame, larger: bool) -> DataFrame:
-    """One rewriting step: every node's neighbours are hung on the least node it knows.
+def _hung(pairs: DataFrame, few: bool) -> DataFrame:
+    """``pairs`` with ``m``, the least neighbour of each ``u``. A node with very many neighbours is never gathered in one task."""
+    least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    if few:
+        return pairs.join(F.broadcast(least.drop("n")), "u")
+    return join_counted(pairs, cut_lineage(least), ["u"], "n")
 
-    The least neighbour is a partial aggregate, and only it is joined back, so that a node with very
-    many neighbours is never gathered in one task.
-    """
+
+def _star(pairs: DataFrame, larger: bool, few: bool) -> DataFrame:
+    """One rewriting step: every node's neighbours are hung on the least node it knows; ``few``: there are few pairs."""
     if larger:
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-    least = pairs.groupBy("u").agg(F.min("v").alias("m"))
-    hung = pairs.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-    return hung.union(least.select("u", F.col("m").alias("v"))).distinct()
+        met = _hung(both, few).select("u", "v", F.least("u", "m").alias("m"))
+        return met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    hung = _hung(pairs, few).select("u", "v", "m")
+    return hung.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(hung.select("u", F.col("m").alias("v"))).distinct()
 
 
 def connected_components(edges: DataFrame, left: str, right: str, max_rounds: int = 60) -> DataFrame:
@@ -95,10 +125,12 @@ def connected_components(edges: DataFrame, left: str, right: str, max_rounds: in
     """
     pairs = edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).where("u <> v").distinct()
     pairs = cut_lineage(pairs)
-    mark = None
+    n, mark = pairs.count(), None
     for _ in range(max_rounds):
-        pairs = cut_lineage(_star(_star(pairs, larger=True), larger=False))
+        few = n <= BROADCAST_KEYS
+        pairs = cut_lineage(_star(_star(pairs, True, few), False, few))
         now = pairs.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
+        n = now.n
         if (now.n, now.x) == mark or now.n == 0:
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
         mark = (now.n, now.x)

@@ -92,3 +92,16 @@ def test_tallies_refuse_no_link():
         far = rng.integers(-(1 << 63), 1 << 63, 700)
         assert n < 700 or not may_link([tallies[0], tally_of(far)], np.array([1, 2]), 0.8).any()
     assert tally_of(np.zeros(300, np.int64)) == b"" and may_link([b"", tallies[0]], np.array([1, 2]), 0.8).all()
+
+
+def test_components_of_large_graphs(spark, monkeypatch):
+    """The plan for many links, with hot nodes joined apart, gives the same components."""
+    from millrace.operators import alike
+
+    edges = [(0, i) for i in range(1, 60)] + [(100 + i, 101 + i) for i in range(40)] + [(200, 200), (None, 3)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    want = {i: 0 for i in range(1, 60)} | {i: 100 for i in range(101, 141)}
+    monkeypatch.setattr(alike, "BROADCAST_KEYS", -1)
+    monkeypatch.setattr(alike, "HOT_SHARE", 5)
+    monkeypatch.setattr(alike, "join_counted", lambda *a, inner=alike.join_counted, **k: inner(*a, few=-1, **k))
+    assert {r.node: r.root for r in alike.connected_components(df, "a", "b").collect()} == want
