@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.alike import cut_lineage, stream_groups  # noqa: F401
+from ..operators.alike import BROADCAST_KEYS, BROADCAST_NUMBERS, cut_lineage, join_counted, stream_groups  # noqa: F401
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,32 +26,6 @@ def content_numbers(text: Column) -> list[Column]:
     return [F.conv(F.substring(digest, at, 15), 16, 10).cast("long").alias(name) for at, name in zip((1, 16), CONTENT)]
 
 
-#: Keys that are broadcast after they were counted; of more, only the hot ones are.
-BROADCAST_KEYS = 30_000
-#: The same for tables of a single number.
-BROADCAST_NUMBERS = 500_000
-#: A key is hot if it has more than one of so many rows; there are fewer such keys than this.
-HOT_SHARE = 1000
-
-
-def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], n: str, how: str = "inner", few: int = BROADCAST_KEYS) -> DataFrame:
-    """``rows`` joined with ``table`` on ``keys``; column ``n`` of the table tells how many rows have its key.
-
-    The table has one row a key, is cut from its lineage, and is read a few times. Up to ``few`` rows of it are broadcast.
-    Of a larger one only hot keys are, so that none of them gathers in a task, and the rest is
-    shuffled; ``how`` is inner or left. Column ``n`` goes.
-    """
-    size = table.agg(F.count("*").alias("keys"), F.sum(n).alias("rows")).first()
-    slim = table.drop(n)
-    if size["keys"] <= few:
-        return rows.join(F.broadcast(slim), keys, how)
-    hot = table.where(F.col(n) * HOT_SHARE > size["rows"]).drop(n)
-    if not hot.count():
-        return rows.join(slim, keys, how)
-    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
-    return rows.join(F.broadcast(hot), keys).unionByName(cold.join(slim, keys, how))
-
-
 def fold_of(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 4; remainder 2 is held out of every fit."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 4

@@ -117,10 +117,10 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     """
     prints = cut_lineage(with_fingerprints(docs, key, text, words))
     roots = fingerprint_components(prints, radius, blocks)
-    reps = prints.groupBy("fp").agg(F.min("key").alias("least")).join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    reps = prints.groupBy("fp").agg(F.min("key").alias("least"), F.count("*").alias("copies")).join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     owners = reps.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = reps.join(owners, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select(F.col("key").alias(key), "fp", "component_id")
+    classes = cut_lineage(reps.join(owners, "root").select("fp", "component_id", "copies"))
+    return join_counted(prints, classes, ["fp"], "copies").select(F.col("key").alias(key), "fp", "component_id")
 
 
 def simhash_digest(documents: DataFrame) -> DataFrame:
@@ -179,9 +179,9 @@ def _suspects(classes: DataFrame, radius: int) -> DataFrame:
     keyed = classes.select("uid", "fp", F.posexplode("least").alias("order", "least"))
     marks = keyed.groupBy("order", "least").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("uid")).alias("p"), F.bit_xor(F.xxhash64(F.lit(1), "uid")).alias("q")).where("n > 1")
     # least shingles that the same texts have make one bucket
-    different = marks.groupBy("n", "p", "q").agg(F.min(F.struct("order", "least")).alias("k")).select("k.order", "k.least")
+    different = marks.groupBy("n", "p", "q").agg(F.min(F.struct("order", "least")).alias("k")).select("k.order", "k.least", "n")
     by = ["order", "least", "lo", "hi"]
-    pairs = tiled(cut_lineage(keyed.join(different, ["order", "least"])), by[:2], F.xxhash64("uid")).repartition(*by).sortWithinPartitions(*by).select(*by, "uid", "fp")
+    pairs = tiled(cut_lineage(join_counted(keyed, cut_lineage(different), by[:2], "n")), by[:2], F.xxhash64("uid")).repartition(*by).sortWithinPartitions(*by).select(*by, "uid", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in stream_groups(batches, by):

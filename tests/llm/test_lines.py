@@ -5,6 +5,7 @@ import pytest
 from millrace.llm import common
 from millrace.llm import line_templates as lt
 from millrace.llm.queries import ORACLE, QUERIES
+from millrace.operators import alike
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -41,7 +42,7 @@ def test_hot_keys_apart(spark, monkeypatch):
     want = drop(spark, texts)
     for few, share in ((0, 1000), (0, 3)):
         monkeypatch.setattr(lt, "join_counted", lambda *a, few=few, **k: common.join_counted(*a, **{**k, "few": few}))
-        monkeypatch.setattr(common, "HOT_SHARE", share)
+        monkeypatch.setattr(alike, "HOT_SHARE", share)
         assert drop(spark, texts) == want
 
 
