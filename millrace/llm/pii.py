@@ -35,11 +35,17 @@ GENERATORS = (
     ("id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     ("id", r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?![A-Z0-9])"),
     ("secret", r"(?i)(?<![a-z0-9])(?:api[_-]?key|access[_-]?key|token|secret|passw(?:or)?d)[\"' ]{0,3}[:=][\"' ]{0,3}[a-z0-9_\-./+]{8,}+"),
+    ("secret", r"(?<![A-Za-z0-9])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])"),
+    ("secret", r"(?<![A-Za-z0-9_-])(?:gh[opsu]_|glpat-|xox[abp]-|[ps]k[-_]|eyJ)(?=[A-Za-z_.-]*+[0-9])[A-Za-z0-9_.-]{16,}+"),
 )
+#: What a text must hold for a kind's generators to be tried; a digit, if not said here.
+NEEDS = {"email": r"(?:\(at\)|\[at\]|\{at\})", "secret": "[=:]|A[KS]IA|gh[opsu]_|glpat-|xox|[ps]k[-_]|eyJ"}
 KINDS = ("email", "ip", "card", "phone", "id", "secret")
 #: Words that speak for personal data just before a span, and words that speak for other numbers.
 FOR = "mail|contact|phone|tel|call|mobile|fax|whatsapp|reach|card|visa|credit|iban|account|ssn|social|address|host|server|login|key|token|secret|password|numéro|nummer|teléfono|correo|konto"
 AGAINST = "order|invoice|page|version|isbn|issn|total|price|chapter|section|figure|table|year|date|code|build|release|part|item|ref"
+#: Cues are whole words, an s at the end aside.
+CUE = r"(?<![a-zà-ÿ])(?:{})s?(?![a-zà-ÿ])"
 WINDOW = 32
 FEATURES = ("kind", "digits", "length", "marks", "luhn", "speaks", "denies", "joined", "distinct")
 
@@ -105,7 +111,7 @@ def features_of(kind: str, found: str, before: str, after: str) -> list[float]:
     joined = bool(re.search("[A-Za-z0-9]$", before)) or bool(re.search("^[A-Za-z0-9]", after))
     marks = len(re.sub("[A-Za-z0-9]", "", found))
     near = before.lower()
-    return [float(x) for x in (KINDS.index(kind), len(d), len(found), marks, total % 10 == 0, bool(re.search(FOR, near)), bool(re.search(AGAINST, near)), joined, len(set(d)))]
+    return [float(x) for x in (KINDS.index(kind), len(d), len(found), marks, total % 10 == 0, bool(re.search(CUE.format(FOR), near)), bool(re.search(CUE.format(AGAINST), near)), joined, len(set(d)))]
 
 
 def feature_columns(kind: str, span: Column, text: Column) -> list[Column]:
@@ -115,7 +121,7 @@ def feature_columns(kind: str, span: Column, text: Column) -> list[Column]:
     d, near = _digits(found), F.lower(before)
     joined = before.rlike("[A-Za-z0-9]$") | after.rlike("^[A-Za-z0-9]")
     distinct = F.size(F.array_distinct(F.filter(F.split(d, ""), lambda c: c != "")))
-    flags = [_luhn(d), near.rlike(FOR), near.rlike(AGAINST), joined]
+    flags = [_luhn(d), near.rlike(CUE.format(FOR)), near.rlike(CUE.format(AGAINST)), joined]
     numbers = [F.lit(float(KINDS.index(kind))), F.length(d), F.length(found), F.length(F.regexp_replace(found, "[A-Za-z0-9]", ""))]
     return [*(n.cast("double") for n in numbers), *(F.coalesce(f, F.lit(False)).cast("double") for f in flags), distinct.cast("double")]
 
@@ -145,7 +151,13 @@ def _example(rng: random.Random) -> tuple[str, str, str, str, int]:
     elif kind == "id":
         found = rng.choice([f"{digits(3)}-{digits(2)}-{digits(4)}", rng.choice(["DE", "FR", "ES", "GB"]) + digits(2) + "".join(f" {digits(4)}" for _ in range(rng.randint(3, 5)))])
     else:
-        found = f"{rng.choice(['token', 'api_key', 'password', 'secret'])} = {''.join(rng.choice('abcdefABCDEF0123456789_') for _ in range(rng.randint(16, 40)))}" if real else f"{rng.choice(['token', 'password', 'secret'])}: {word(rng.randint(8, 10))}"
+        said, mixed = rng.choice(["token", "api_key", "password", "secret"]), [rng.choice("abcdefABCDEF0123456789_") for _ in range(rng.randint(16, 40))]
+        upper = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16))
+        prefix = rng.choice(["ghp_", "glpat-", "xoxb-", "sk-", "pk_", "eyJ"])
+        if real:
+            found = rng.choice([f"{said} = {''.join(mixed)}", f"{said}={''.join(mixed).lower()}", rng.choice(["AKIA", "ASIA"]) + upper, prefix + "".join(mixed) + digits(2)])
+        else:
+            found = rng.choice([f"{said}: {word(rng.randint(8, 10))}", f"{said}={word(9)}", f"{prefix}{word(6)}-{word(5)}-{word(6)}"])
     speaks, denies = FOR.split("|"), AGAINST.split("|")
     told = rng.random()
     cue = rng.choice(speaks if real else denies) if told < 0.6 else word(5) if told < 0.9 else rng.choice(denies if real else speaks)
@@ -238,7 +250,7 @@ def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text", model: Tr
     model = model or fit_trees()
     kind_of = "array<struct<kind:string,start:int,end:int>>"
     rows = docs.select(F.col(key).alias("doc_id"), unmarked(F.col(text)).alias("t"))
-    has = F.col("t").rlike("[0-9@=:\\[({]")
+    has = F.col("t").rlike("[0-9@=:\\[({]|eyJ|gh[opsu]_|xox|[ps]k[-_]|glpat-|A[KS]IA")
     rows = rows.select("doc_id", F.when(has, F.col("t")).otherwise("").alias("t"))
     none = F.expr("cast(array() as array<struct<start:int,end:int,found:string>>)")
 
@@ -246,8 +258,7 @@ def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text", model: Tr
         return F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
     def scored(kind: str, pattern: str) -> Column:
-        needs = {"email": r"(?:\(at\)|\[at\]|\{at\})", "secret": "[=:]"}.get(kind, "[0-9]")
-        spans = F.when(F.col("t").rlike(needs), spans_of(F.col("t"), pattern)).otherwise(none)
+        spans = F.when(F.col("t").rlike(NEEDS.get(kind, "[0-9]")), spans_of(F.col("t"), pattern)).otherwise(none)
 
         def one(s: Column) -> Column:
             score = model.column(feature_columns(kind, s, F.col("t")))
@@ -306,4 +317,5 @@ def pii_digest(documents: DataFrame) -> DataFrame:
 
     counts = [number(k).alias(f"n_{k}") for k in BASE]
     digest = F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256")
-    return found.select("doc_id", *counts, digest, joined(F.concat("base", "more")).alias("spans"))
+    every = F.concat("base", "more")
+    return found.select("doc_id", *counts, digest, joined(every).alias("spans"), F.size(every).cast("long").alias("n_spans"))
