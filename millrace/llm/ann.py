@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, map_arrow, stream_groups
+from .common import cut_lineage, least_by_hash, map_arrow, stream_groups
 
 #: Rows of a cell: a list longer than this, or more queries than this for a list, are dealt to several cells.
 LIST_ROWS, QUERY_ROWS = 4096, 1024
@@ -137,7 +137,7 @@ def nearest_vectors(
     same = Window.partitionBy("vector").orderBy("vec_id")
     kept = fine.withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1).drop("n")
     facts = fine.agg(F.count("*").alias("n"), F.sqrt(F.max(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))).alias("longest")).first()
-    chosen = fine.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vector").toPandas()["vector"]
+    chosen = least_by_hash(fine, "vec_id", sample).select("vector").toPandas()["vector"]
     points = np.stack([np.asarray(v, np.float64) for v in chosen]) if len(chosen) else np.zeros((0, 1))
     lists = fit_lists(points, float(facts.longest or 0), facts.n)
     shared = rows.sparkSession.sparkContext.broadcast(lists)  # at most sample / 4 centroids

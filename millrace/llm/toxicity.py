@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, is_held_out, map_arrow
+from .common import cut_lineage, is_held_out, least_by_hash, map_arrow
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 #: Words of reporting and of address, and quotation marks.
@@ -249,7 +249,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, suppo
     one of them is. No labels, or labels of one kind, give a model that scores 0 everywhere.
     """
     known = labels.where(F.col("toxic").isNotNull() & ~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = least_by_hash(known, "doc_id", sample)
     # the chosen ids are bounded by ``sample``
     rows = cut_lineage(docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")))
 
