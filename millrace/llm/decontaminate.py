@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections import ChainMap, Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import partial
 from itertools import chain, repeat
@@ -17,10 +17,11 @@ from itertools import chain, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import cut_lineage, map_arrow
 
 _WORD = re.compile(r"\w+")
 #: Odd multipliers of the shingle hash (of our own choice: any odd constants do).
@@ -218,13 +219,27 @@ def benchmark_spread(benchmark: DataFrame, n: int, key: str = "item_id", text: s
     return int(n_items[null].sum()), several[order], held_by[order]
 
 
-def indexes(benchmark: DataFrame, words: int = 5, radius: int = 16, threshold: float = 0.8, block_bytes: int = 16 << 20) -> list[ItemIndex]:
+def passes(docs: DataFrame, benchmark: DataFrame, words: int = 5, radius: int = 16, threshold: float = 0.8, block_bytes: int = 16 << 20) -> Iterator[tuple[Broadcast, Callable[[DataFrame], DataFrame]]]:
+    """The broadcast index of each block of the benchmark, and what ends its pass.
+
+    Of several blocks one at a time is held: a pass is then written to the checkpoint folder, and its index let go.
+    """
     blocks = item_blocks(benchmark, block_bytes=block_bytes)
     first, second = next(blocks, None), next(blocks, None)
     if first is None:
-        return []
+        return
     whole = benchmark_spread(benchmark, words) if second is not None else None
-    return [build_index(block, words, radius, threshold, whole) for block in chain([first], [] if second is None else [second], blocks)]
+    for block in chain([first], [] if second is None else [second], blocks):
+        shared = docs.sparkSession.sparkContext.broadcast(build_index(block, words, radius, threshold, whole))
+
+        def end(done: DataFrame, shared: Broadcast = shared) -> DataFrame:
+            if whole is None:
+                return done
+            done = cut_lineage(done)
+            shared.destroy()
+            return done
+
+        yield shared, end
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -235,11 +250,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     is a leak. ``start`` counts words. Null and blank texts leak nothing; items without a word are left
     out; repeated rows are reported as often as they come; an empty table on either side gives an
     empty result. Nothing is shuffled; each block of the benchmark is one pass over the documents.
+    ``radius=63`` looks at every item whatever its fingerprint (but for an exact complement), so that the similarity alone decides.
     """
     kind = dict(docs.dtypes)[key]
     schema = f"doc_id {kind}, item_id long, similarity double, start long, words long"
     slim = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    context = docs.sparkSession.sparkContext
 
     def run(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,19 +268,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *arrays], names=["doc_id", "item_id", "similarity", "start", "words"])
 
     out = docs.sparkSession.createDataFrame([], schema)
-    for index in indexes(benchmark, **options):
-        out = out.union(map_arrow(slim, partial(run, context.broadcast(index)), schema))
+    for shared, end in passes(docs, benchmark, **options):
+        out = out.union(end(map_arrow(slim, partial(run, shared), schema)))
     return out
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, with all their columns, that leak no item; one pass for each block, nothing shuffled."""
-    names, context = docs.columns, docs.sparkSession.sparkContext
+    names = docs.columns
 
     def run(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array([not leaks_of(v.as_py(), shared.value) for v in batch.column(names.index(text))], pa.bool_()))
 
-    for index in indexes(benchmark, **options):
-        docs = docs.mapInArrow(partial(run, context.broadcast(index)), docs.schema)
+    for shared, end in passes(docs, benchmark, **options):
+        docs = end(docs.mapInArrow(partial(run, shared), docs.schema))
     return docs
