@@ -101,12 +101,15 @@ def walk(lists: Lists, query: np.ndarray, width: int) -> tuple[np.ndarray, np.nd
 
 
 def usable(rows: DataFrame, key: str, column: str) -> DataFrame:
-    """``vec_id, vector`` (doubles) of rows whose vector is of the commonest length, finite and not zero."""
+    """``vec_id, vector`` (doubles) of rows whose vector is finite and not zero; shorter vectors are filled with zeros to the longest one's length."""
     rows = rows.select(F.col(key).cast("long").alias("vec_id"), F.col(column).cast("array<double>").alias("vector"))
     fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("vector", lambda x: x != 0)
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull()).where(F.coalesce(fine, F.lit(False)))
-    lengths = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("vector") == (lengths["n"] if lengths else 0))
+    n = F.size("vector")
+    sizes = rows.agg(F.min(n).alias("least"), F.max(n).alias("most")).first()
+    if sizes.least == sizes.most:
+        return rows
+    return rows.withColumn("vector", F.concat("vector", F.array_repeat(F.lit(0.0), F.lit(sizes.most) - n)))
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -119,9 +122,9 @@ def nearest_vectors(
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each query row the ``k`` rows of largest inner product found, but its own id.
 
-    score is the inner product of the vectors as given, in double precision; ties go to the smaller id,
-    and an id is listed once. Vectors that are null, zero, or hold null or non-finite components take no
-    part, nor do those of another length than the commonest. Fewer candidates than ``k`` are all
+    score is the inner product of the vectors as given, in double precision, components that a shorter one
+    lacks counting as zero; ties go to the smaller id, and an id is listed once. Vectors that are null, zero, or hold null or non-finite components take no
+    part. Fewer candidates than ``k`` are all
     returned; an empty table gives an empty result.
 
     The lists are fitted on at most ``sample`` rows; all rows are indexed. Of rows with the same vector

@@ -31,7 +31,8 @@ def test_vectors_that_take_no_part(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [None, 1.0]), (7, [1.0]), (20, [2.0, 1.0]), (None, [1.0, 1.0]), (1, [0.5, 0.5])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.neighbour_digest(df).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 20, 2.0), (0, 2, 1, 0.5), (20, 1, 0, 2.0), (20, 2, 1, 1.5)]
+    # a shorter vector takes part: only null, zero and non-finite ones don't
+    assert got == [(0, 1, 20, 2.0), (0, 2, 7, 1.0), (0, 3, 1, 0.5), (20, 1, 0, 2.0), (20, 2, 7, 2.0), (20, 3, 1, 1.5)]
     assert ann.neighbour_digest(df.limit(0)).count() == 0
 
 
@@ -74,8 +75,9 @@ def test_leaks_against_brute_force(spark):
     want = {(k, i): s for k, t in texts for i, s in brute_leaks(t, [(i, t) for i, t in items if t and i is not None]).items()}
     got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.find_leaks(docs, bench).collect()}
     assert got == pytest.approx(want) and len(want) >= 15
-    in_blocks = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, bench, block_bytes=600).collect()}
-    assert {k for k in want} - in_blocks == set()  # shingle weights are those of a block
+    for options in ({"block_bytes": 600}, {"radius": 63}):
+        assert {(r.doc_id, r.item_id): r.similarity for r in decontaminate.find_leaks(docs, bench, **options).collect()} == pytest.approx(want)
+    assert {r.doc_id for r in decontaminate.drop_leaks(docs, bench, block_bytes=600).collect()} == {k for k, _ in texts} - {k for k, _ in want}
     left = {r.doc_id for r in decontaminate.drop_leaks(docs, bench).collect()}
     assert left == {k for k, _ in texts} - {k for k, _ in want}
 
@@ -136,3 +138,19 @@ def test_repeated_rows_take_no_places(spark):
                 best[i, j] = max(best.get((i, j), -np.inf), float(np.asarray(a, float) @ np.asarray(b, float)))
     for q in range(0, 300, 20):
         assert [v for _, v in sorted(got[q])] == sorted((j for i, j in best if i == q), key=lambda j: (-best[q, j], j))[:20]
+
+
+def test_lengths_and_other_columns(spark):
+    """Shorter vectors count as filled with zeros, and columns named like the answer's don't matter."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=3 + i % 4).tolist(), i, 0.5) for i in range(45)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank long, score double")
+    long = {i: np.concatenate([v, np.zeros(6 - len(v))]) for i, v, *_ in rows}
+    got = {}
+    for r in ann.neighbour_digest(df).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert sorted(got) == [0, 20, 40]
+    for q, found in got.items():
+        want = sorted((j for j in long if j != q), key=lambda j: (-(long[q] @ long[j]), j))[:20]
+        assert [v for _, v, _ in sorted(found)] == want
+        assert [x for *_, x in sorted(found)] == pytest.approx([long[q] @ long[j] for j in want])
