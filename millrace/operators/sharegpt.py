@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import messages as M
 from ..functions.schema import is_object
+from .scoring import as_calls, normalized
 
 TURN = "struct<from:string,value:string>"
 #: Role -> side of a training turn.
 SIDES = {"user": "human", "assistant": "gpt", "tool": "observation"}
+TOOL_CALLS = "array<struct<type:string,function:struct<name:string,arguments:string>>>"
 INPUTS, MODELS = ("human", "observation"), ("gpt", "function_call")
 
 
@@ -94,11 +96,34 @@ def repair_counts(rows: DataFrame) -> DataFrame:
     return rows.where("repair IS NOT NULL").groupBy("repair").agg(F.count("*").alias("n"))
 
 
+def _failing(wrong: Column, told: str, kind: str) -> Column:
+    """Null of a type, or the end of the job where ``wrong`` holds; the message names the row."""
+    return F.when(wrong, F.raise_error(F.concat(F.lit("row "), F.coalesce(F.col("id").cast("string"), F.lit("?")), F.lit(f": {told}")))).cast(kind)
+
+
 def prompt_and_label(rows: DataFrame) -> DataFrame:
-    """The last turn, which must be the model's, as label, and what stands before it as prompt messages, system first."""
-    ok = F.try_element_at("conversations", F.lit(-1))["from"].isin(*MODELS)
-    prompt = F.slice("conversations", 1, F.greatest(F.size("conversations") - 1, F.lit(0)))
-    role = F.create_map(*(F.lit(x) for kv in {"human": "user", "gpt": "assistant", "function_call": "assistant", "observation": "tool"}.items() for x in kv))
-    chat = F.transform(prompt, lambda t: F.struct(F.try_element_at(role, t["from"]).alias("role"), t["value"].alias("content")))
-    opening = F.when(F.col("system") != "", F.array(F.struct(F.lit("system").alias("role"), F.col("system").alias("content")))).otherwise(F.expr("cast(array() as array<struct<role:string,content:string>>)"))
-    return rows.where(ok).select("id", "source_dataset", F.concat(opening, chat).alias("prompt"), F.try_element_at("conversations", F.lit(-1))["value"].alias("label"))
+    """The last turn, which must be the model's, as label, and what stands before it as prompt messages, system first.
+
+    A function call among the prompt's turns becomes an assistant's message with ``tool_calls``. A row
+    that doesn't end with the model, a turn of an unknown side, and a call that isn't JSON of calls end the job.
+    """
+    last = F.try_element_at("conversations", F.lit(-1))
+    turns = F.slice("conversations", 1, F.greatest(F.size("conversations") - 1, F.lit(0)))
+    role = F.create_map(*(F.lit(x) for kv in {"human": "user", "user": "user", "gpt": "assistant", "assistant": "assistant", "function_call": "assistant", "observation": "tool", "tool": "tool", "system": "system"}.items() for x in kv))
+
+    def message(t: Column) -> Column:
+        is_call = t["from"] == M.CALL
+        calls = F.when(is_call, normalized(as_calls(F.try_parse_json(t["value"]))))
+        side = F.coalesce(F.try_element_at(role, t["from"]), _failing(F.lit(True), "unknown side of a turn", "string"))
+        wrapped = F.transform(calls, lambda c: F.struct(F.lit("function").alias("type"), c.alias("function")))
+        told = F.coalesce(wrapped, _failing(is_call, "a function call is not JSON of calls", TOOL_CALLS)).cast(TOOL_CALLS)
+        return F.struct(side.alias("role"), F.when(is_call, "").otherwise(t["value"]).alias("content"), told.alias("tool_calls"))
+
+    chat = F.transform(turns, message)
+    said = F.trim("system")
+    needed = (said != "") & (F.coalesce(F.try_element_at("conversations", F.lit(1))["from"], F.lit("")) != "system")
+    opening = F.when(needed, F.array(F.struct(F.lit("system").alias("role"), said.alias("content"), F.lit(None).cast(TOOL_CALLS).alias("tool_calls"))))
+    prompt = F.concat(F.coalesce(opening, F.expr(f"cast(array() as array<struct<role:string,content:string,tool_calls:{TOOL_CALLS}>>)")), chat)
+    ends = F.coalesce(last["from"].isin(*MODELS), F.lit(False))
+    label = F.coalesce(_failing(~ends, "it does not end with the model's turn", "string"), last["value"])
+    return rows.select("id", "source_dataset", prompt.alias("prompt"), label.alias("label"))

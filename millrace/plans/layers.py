@@ -88,9 +88,14 @@ def export(spark: SparkSession, layout: Layout, run: str, overwrite: bool = Fals
     if stats.valid != stats.records:
         bad = rows.where("error IS NOT NULL").select("id", "error").take(3)
         raise ValueError(f"{stats.records - stats.valid} records can't be exported, such as {[tuple(r) for r in bad]}")
+    written = {}
+    want = {r.split: r.n for r in spark.read.parquet(layout.at("gold", run)).groupBy("split").agg(F.count("*").alias("n")).collect()}
     for split in ("train", "validation"):
         rows.where(F.col("split") == split).select("id", "source_dataset", "conversations", "system", "tools").write.mode("overwrite" if overwrite else "errorifexists").json(f"{layout.at('export', run)}/{split}")
-    out = {**stats.asDict(), "repairs": {r.repair: r.n for r in sharegpt.repair_counts(rows).collect()}, "descriptor": sink.dataset_descriptor({s: f"{s}.jsonl" for s in ("train", "validation")})}
+        written[split] = spark.read.text(f"{layout.at('export', run)}/{split}").count()
+    if differing := {k: (want.get(k, 0), n) for k, n in written.items() if n != want.get(k, 0)}:
+        raise ValueError(f"gold and exported records by split differ: {differing}")
+    out = {**stats.asDict(), "splits": written, "repairs": {r.repair: r.n for r in sharegpt.repair_counts(rows).collect()}, "descriptor": sink.dataset_descriptor({s: f"{s}.jsonl" for s in ("train", "validation")})}
     sink.write_json(spark, f"{layout.at('manifests', run)}/export.json", out)
     return out
 

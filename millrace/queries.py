@@ -246,7 +246,7 @@ def sharegpt_repairs(spark, sf_dir):
 
 @query(f"""WITH {SHARE} SELECT id, source_dataset, (len(conv) - 1 + (system <> '')::INT)::INT AS prompt_messages, conv[-1].v AS label FROM share WHERE len(conv) > 0 AND conv[-1].f IN ('gpt', 'function_call')""")
 def prompt_labels(spark, sf_dir):
-    rows = sharegpt.prompt_and_label(sharegpt.export_rows(turns_as_records(spark, sf_dir)))
+    rows = sharegpt.prompt_and_label(sharegpt.export_rows(turns_as_records(spark, sf_dir)).where("error IS NULL"))
     return rows.select("id", "source_dataset", F.size("prompt").alias("prompt_messages"), "label")
 
 

@@ -57,3 +57,24 @@ def test_failing_export_stops(spark):
     df = spark.createDataFrame([("a", "s", messages, [])], "id string, source_dataset string, messages array<struct<role:string,content:string,name:string>>, tools array<string>")
     with pytest.raises(Exception, match="a: "):
         sharegpt.checked(sharegpt.export_rows(df)).collect()
+
+
+def exported(spark, *turns, system=""):
+    df = spark.createDataFrame([("a", "s", list(turns), system)], "id string, source_dataset string, conversations array<struct<from:string,value:string>>, system string")
+    return sharegpt.prompt_and_label(df).first()
+
+
+def test_prompt_has_tool_calls(spark):
+    calls = '[{"name":"f","arguments":{"x":1}},{"name":"g","parameters":{"y":2}},{"name":"h"}]'
+    row = exported(spark, ("human", "hi"), ("function_call", calls), ("observation", "3"), ("function_call", '{"name":"f"}'), ("observation", "4"), ("gpt", "done"), system=" be brief ")
+    assert row.label == "done" and [m.role for m in row.prompt] == ["system", "user", "assistant", "tool", "assistant", "tool"]
+    assert row.prompt[0].content == "be brief" and row.prompt[2].content == "" and row.prompt[1].tool_calls is None
+    assert [(c.type, c.function.name, c.function.arguments) for c in row.prompt[2].tool_calls] == [("function", "f", '{"x":1}'), ("function", "g", '{"y":2}'), ("function", "h", "{}")]
+    assert [c.function.name for c in row.prompt[4].tool_calls] == ["f"]
+    assert exported(spark, ("human", "hi"), ("function_call", calls)).label == calls
+
+
+def test_prompts_that_fail(spark):
+    for turns, told in (((("human", "x"),), "end with the model"), ((), "end with the model"), ((("human", "x"), ("function_call", "no json"), ("gpt", "y")), "not JSON of calls"), ((("critic", "x"), ("gpt", "y")), "unknown side")):
+        with pytest.raises(Exception, match=told):
+            exported(spark, *turns)
