@@ -46,8 +46,17 @@ STAGES = [
 ]
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder, in whatever store the path names."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written to the shared checkpoint folder and read again."""
+    """All stages over ``documents``; each result is written to the shared checkpoint folder and read again.
+
+    A stage's input goes once its result is written; the last stage's stays, as the result is computed from it.
+    """
     docs = read_table(spark, sf_dir, "documents")
     folder = spark.conf.get("spark.checkpoint.dir", None)
     at = f"{folder}/pipeline-{uuid.uuid4().hex}" if folder else None
@@ -58,6 +67,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if at:
             docs.write.parquet(f"{at}/{k}")
             docs = spark.read.parquet(f"{at}/{k}")
+            if k:
+                remove(spark, f"{at}/{k - 1}")
         else:
             docs = cut_lineage(docs)
     return docs
