@@ -28,7 +28,7 @@ WAITING = 1 << 23
 
 def _slot_table() -> np.ndarray:
     table = np.zeros(0x110000, np.uint8)
-    for cp in range(0x30000):
+    for cp in range(len(table)):
         if 0xD800 <= cp < 0xE000:
             continue
         c = chr(cp)
