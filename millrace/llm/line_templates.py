@@ -100,11 +100,13 @@ def dropped_lines(docs: DataFrame, text: str = "text", depth: int = 3, similar:
     keys = cut_lineage(lines_of(docs, text, depth).drop("form"))
     several = keys.groupBy("leaf").agg(*(f(c).alias(f"{f.__name__}_{c}") for c in CONTENT for f in (F.min, F.max)), F.count("*").alias("rows"))
     several = cut_lineage(several.where("min_c1 <> max_c1 OR min_c2 <> max_c2").select("leaf", "rows"))
-    shared = cut_lineage(join_counted(keys, several, ["leaf"], "rows", few=BROADCAST_NUMBERS))
+    shared = join_counted(keys, several, ["leaf"], "rows", few=BROADCAST_NUMBERS)
     found = line_templates(docs, shared, text, depth, similar, least, splits)
-    found = cut_lineage(found.join(shared.groupBy("a", "b").agg(F.count("*").alias("rows")), ["a", "b"]))
-    named = join_counted(shared.select(*CONTENT, "place", "a", "b"), found, ["a", "b"], "rows", "left").select(*CONTENT, "place", F.coalesce("g", "a").alias("s"), F.when(F.col("g").isNull(), F.col("b")).alias("t"))
-    named = named.select(*CONTENT, "place", "s", F.coalesce("t", F.lit(0)).alias("t"))
+    # a line can only recur if it takes a template or stands in several texts itself
+    forms = shared.groupBy("a", "b").agg(F.count("*").alias("rows"), *(f(c).alias(f"{f.__name__}_{c}") for c in CONTENT for f in (F.min, F.max)))
+    forms = forms.join(found, ["a", "b"], "left").where("g IS NOT NULL OR min_c1 <> max_c1 OR min_c2 <> max_c2")
+    forms = cut_lineage(forms.select("a", "b", "rows", F.coalesce("g", "a").alias("s"), F.when(F.col("g").isNull(), F.col("b")).otherwise(0).alias("t")))
+    named = join_counted(shared.select(*CONTENT, "place", "a", "b"), forms, ["a", "b"], "rows").select(*CONTENT, "place", "s", "t")
     # a text's repeats are folded first, so that a template's texts are counted, not its lines
     per_text = named.groupBy("s", "t", *CONTENT).agg(F.min("place").alias("place"), F.count("*").alias("rows"))
     recurring = per_text.groupBy("s", "t").agg(F.count("*").alias("texts"), F.sum("rows").alias("rows"), F.min(F.struct(*CONTENT, "place")).alias("first"))
