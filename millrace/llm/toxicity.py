@@ -129,7 +129,7 @@ class Matcher(dict):
         return False
 
     def __missing__(self, token: str) -> tuple[str, int] | None:
-        if len(self) > 400_000:
+        if len(self) > 200_000:  # about 20 MB; a worker lives on after its stage
             self.clear()
         found = None
         if token + END in self.words:
