@@ -23,21 +23,27 @@ def stable_key(df: DataFrame, column: str) -> Column:
     return F.when(value < 0, value + F.lit(WORD).cast("decimal(20,0)")).otherwise(value).cast("decimal(20,0)")
 
 
-def jump_hash(key: Column, shards: int) -> Column:
-    """The bucket of ``key`` (decimal, 0 to 2**64 - 1) among ``shards``: at most ``shards`` jumps, each forward.
+def advance(k: Column) -> Column:
+    """One step of the generator. Products reach 2**64 times the multiplier, below 10**38, so decimal(38,0) is exact."""
+    k = ((k * F.lit(MULTIPLIER).cast("decimal(19,0)")).cast("decimal(38,0)") + F.lit(1)).cast("decimal(38,0)") % F.lit(WORD).cast("decimal(20,0)")
+    return k.cast("decimal(38,0)")
 
-    Products reach 2**64 times the multiplier, below 10**38, so decimal(38,0) is exact.
-    """
+
+def high_part(k: Column) -> Column:
+    """The upper 31 of 64 bits, a whole double."""
+    low = k % F.lit(SHIFT).cast("decimal(10,0)")
+    return ((k - low) / F.lit(SHIFT).cast("decimal(10,0)")).cast("double")  # a whole quotient: exact
+
+
+def jump_hash(key: Column, shards: int) -> Column:
+    """The bucket of ``key`` (decimal, 0 to 2**64 - 1) among ``shards``: at most ``shards`` jumps, each forward."""
     if shards < 1:
         raise ValueError("shards must be 1 or more")
     start = F.struct(key.cast("decimal(38,0)").alias("k"), F.lit(-1).cast("long").alias("b"), F.lit(0).cast("long").alias("j"))
 
     def jump(s: Column, _: Column) -> Column:
-        k = ((s["k"] * F.lit(MULTIPLIER).cast("decimal(19,0)")).cast("decimal(38,0)") + F.lit(1)).cast("decimal(38,0)") % F.lit(WORD).cast("decimal(20,0)")
-        k = k.cast("decimal(38,0)")
-        low = k % F.lit(SHIFT).cast("decimal(10,0)")
-        high = ((k - low) / F.lit(SHIFT).cast("decimal(10,0)")).cast("double") + 1.0  # a whole quotient: exact
-        j = F.floor((s["j"] + 1).cast("double") * (F.lit(float(SPAN)) / high)).cast("long")
+        k = advance(s["k"])
+        j = F.floor((s["j"] + 1).cast("double") * (F.lit(float(SPAN)) / (high_part(k) + 1.0))).cast("long")
         done = s["j"] >= shards
         return F.struct(F.when(done, s["k"]).otherwise(k).alias("k"), F.when(done, s["b"]).otherwise(s["j"]).alias("b"), F.when(done, s["j"]).otherwise(j).alias("j"))
 
@@ -47,8 +53,10 @@ def jump_hash(key: Column, shards: int) -> Column:
 def assign_shards(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 8, chunks: int = 1024) -> DataFrame:
     """Every row of ``df`` with ``size, text_crc32, law, shard, slot, grown_shard`` in place of such columns of its own.
 
-    size: UTF-8 bytes of the text (null: none) plus 1. slot: gapless from 0 within a shard, by
-    ``key mod chunks`` and then by key, ties in any order. Ranks are taken in ``shards * chunks``
+    size: UTF-8 bytes of the text (null: none) plus 1. slot: gapless from 0 within a shard, by chunk,
+    then by key and text checksum, ties in any order. A chunk is the key's hash plus the text's
+    checksum, modulo ``chunks``, so that neither ids with a common step nor many texts under one id
+    (or under none) meet in a chunk; rows equal in both do. Ranks are taken in ``shards * chunks``
     groups and shifted by the counts before them; that table of counts is bounded by the two
     parameters and is the only thing broadcast, so no task ever holds a whole shard. Repeated rows each
     get a slot; a null key counts as 0; an empty table gives an empty result.
@@ -57,23 +65,25 @@ def assign_shards(df: DataFrame, key: str = "doc_id", text: str = "text", shards
     kept = [c for c in df.columns if c not in added]
     bytes_of = F.coalesce(F.col(text), F.lit("")).cast("binary")
     number = stable_key(df, key)
+    shard = jump_hash(number, shards).alias("shard")
+    chunk = F.pmod(high_part(advance(number.cast("decimal(38,0)"))).cast("long") + F.crc32(bytes_of), F.lit(chunks)).cast("int").alias("__chunk")
     placed = df.select(
         *kept,
         (F.octet_length(bytes_of).cast("long") + 1).alias("size"),
         F.crc32(bytes_of).alias("text_crc32"),
         F.lit("key").alias("law"),
-        jump_hash(number, shards).alias("shard"),
+        shard,
         jump_hash(number, shards + 1).alias("grown_shard"),
-        (number % F.lit(chunks)).cast("int").alias("__chunk"),
+        chunk,
         number.alias("__key"),
     )
-    counts = df.select(jump_hash(number, shards).alias("shard"), (number % F.lit(chunks)).cast("int").alias("__chunk")).groupBy("shard", "__chunk").count()
+    counts = df.select(shard, chunk).groupBy("shard", "__chunk").count()
     sizes = counts.groupBy("shard").agg(F.map_from_entries(F.collect_list(F.struct("__chunk", "count"))).alias("m"))
     before = sizes.select(
         "shard",
         F.posexplode(F.expr(f"aggregate(sequence(0, {chunks - 1}), array(0L), (a, c) -> array_append(a, element_at(a, -1) + coalesce(m[c], 0L)))")).alias("__chunk", "__before"),
     )
-    ranked = placed.selectExpr("*", "row_number() OVER (PARTITION BY shard, __chunk ORDER BY __key) - 1 AS __rank")
+    ranked = placed.selectExpr("*", "row_number() OVER (PARTITION BY shard, __chunk ORDER BY __key, text_crc32) - 1 AS __rank")
     joined = ranked.join(F.broadcast(before), ["shard", "__chunk"])
     return joined.select(*kept, "size", "text_crc32", "law", "shard", (F.col("__before") + F.col("__rank")).cast("long").alias("slot"), "grown_shard")
 
@@ -92,6 +102,6 @@ jumps AS (SELECT r, n, k, -1::BIGINT AS b, 0::BIGINT AS j FROM docs, (VALUES (8)
  UNION ALL
  SELECT r, n, k1, j, floor((j + 1) * (2147483648.0::DOUBLE / ((k1 // 8589934592)::DOUBLE + 1)))::BIGINT FROM (SELECT *, (k * 2862933555777941757 + 1) % 18446744073709551616 AS k1 FROM jumps WHERE j < n)),
 placed AS (SELECT r, max(b) FILTER (n = 8 AND j >= 8)::INT AS shard, max(b) FILTER (n = 9 AND j >= 9)::INT AS grown_shard FROM jumps GROUP BY r)
-SELECT doc_id, (length(h) // 2 + 1)::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY k % 1024, k) - 1 AS slot, grown_shard
+SELECT doc_id, (length(h) // 2 + 1)::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY ((k * 2862933555777941757 + 1) % 18446744073709551616 // 8589934592 + text_crc32) % 1024, k, text_crc32) - 1 AS slot, grown_shard
 FROM docs JOIN crc USING (r) JOIN placed USING (r)
 """

@@ -35,3 +35,15 @@ def test_odd_rows(odd_docs, no_docs):
 def test_text_keys(spark):
     df = spark.createDataFrame([(f"k{i}", "x") for i in range(50)], "doc_id string, text string")
     assert {r.shard for r in sharding.assign_shards(df).collect()} <= set(range(8))
+
+
+def test_hot_ids_are_spread_over_chunks(spark):
+    """Ids with a common step, and texts without an id, don't meet in one chunk; every slot is still given once."""
+    steps = [(i * 1024, "same") for i in range(600)]
+    df = spark.createDataFrame(steps + [(None, f"text {i}") for i in range(600)], "doc_id long, text string")
+    rows = sharding.shard_digest(df).collect()
+    for s in range(8):
+        mine = sorted((r for r in rows if r.shard == s), key=lambda r: r.slot)
+        assert [r.slot for r in mine] == list(range(len(mine)))
+        ids = [r.doc_id for r in mine if r.doc_id is not None]
+        assert len(ids) < 20 or ids != sorted(ids)  # they were one chunk, in order of ids
