@@ -196,7 +196,7 @@ def _stems(text: str) -> dict[str, int]:
     return out
 
 
-def choose_terms(toxic: dict[str, int], clean: dict[str, int], precision: float, most: int) -> list[str]:
+def choose_terms(toxic: dict[str, int], clean: dict[str, int], precision: float) -> list[str]:
     """Stems and words of whose texts at least the share ``precision`` is toxic.
 
     Of a chain of beginnings the shortest that qualifies is grown for as long as its texts stay (nearly)
@@ -213,7 +213,7 @@ def choose_terms(toxic: dict[str, int], clean: dict[str, int], precision: float,
         while more := [x for x in following.get(s, []) if good[x] >= 0.98 * good[s]]:
             s = max(more, key=lambda x: (good[x], x))
         terms.append(s)
-    return sorted(sorted(set(terms), key=lambda s: (-good[s], s))[:most])
+    return sorted(set(terms))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 60) -> list[float]:
@@ -241,11 +241,11 @@ def fit_rising(x: np.ndarray, y: np.ndarray, rising: int) -> list[float]:
         used[down[w[down].argmin()]] = False
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, support: int = 5, precision: float = 0.9, most_terms: int = 500, window: int = 8) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, support: int = 5, precision: float = 0.9, window: int = 8) -> ToxicityModel:
     """A model from at most ``sample`` labelled rows that are not held out, taken in the order of their ids' hash.
 
     A term must follow ``support`` different words or more in toxic texts, so that the words of one much
-    copied text are no terms. Rows without a text, id or label are not learned from; an id with several labels counts as toxic if
+    copied text are no terms; all other terms stay, as the sample bounds them. Rows without a text, id or label are not learned from; an id with several labels counts as toxic if
     one of them is. No labels, or labels of one kind, give a model that scores 0 everywhere.
     """
     known = labels.where(F.col("toxic").isNotNull() & ~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -271,7 +271,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, suppo
 
     toxic = count(1, None)
     clean = count(0, frozenset(toxic))
-    terms = choose_terms(toxic, clean, precision, most_terms)
+    terms = choose_terms(toxic, clean, precision)
     if not terms:
         return ToxicityModel()
     strengths = [float(np.log((toxic[t] + 0.5) / (clean.get(t, 0) + 0.5))) for t in terms]
