@@ -165,3 +165,114 @@ def test_blocks_of_long_texts_join(monkeypatch):
 def test_fold(spark):
     df = spark.createDataFrame([(i,) for i in range(50)], "i long").select("i", fold_of(F.col("i")).alias("f"))
     assert all(r.f == zlib.crc32(str(r.i).encode()) % 4 for r in df.collect())
+
+
+def test_toxicity_whole_result_against_brute_force(spark):
+    """Every score from plain edit distances to all terms and loops over all tokens."""
+    import re
+
+    docs, labels = labelled(spark, 200)
+    extra = [(1000, 'he said "you grumbog" and left'), (1001, "snotfase, snotface! wortzelen"), (1002, None), (1003, "taka")]
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
+    model = toxicity.fit_toxicity(docs, labels)
+    assert model.terms
+    for r in toxicity.score_toxicity(docs, model).join(docs, "doc_id").collect():
+        low = (r.text or "").lower()
+        found = list(re.finditer(r"[^\W\d_]+(?:['’][^\W\d_]+)*", low))
+        tokens, hits = [m.group() for m in found], {}
+        for i, w in enumerate(tokens):
+            near = []
+            for t in model.terms:
+                row = distance(t.rstrip("$"), w)
+                edits = row[-1] if t.endswith("$") else min(row)
+                if edits <= toxicity.edits_allowed(t):
+                    near.append((edits, t))
+            if near:
+                hits[i] = min(near)
+        x = [0.0] * len(toxicity.FEATURES)
+        if hits:
+            marks = [i for i, c in enumerate(low) if c in toxicity.QUOTES]
+            quoted = addressed = 0
+            for i in hits:
+                around, at = tokens[max(0, i - model.window) : i + model.window + 1], found[i].start()
+                before, after = [m for m in marks if m < at], [m for m in marks if m > at]
+                inside = len(before) % 2 == 1 and bool(after) and after[0] - before[-1] <= 40 * model.window
+                quoted += inside or bool(set(around) & toxicity.REPORTING)
+                addressed += bool(set(around) & toxicity.ADDRESS)
+            exact = sum(e == 0 for e, _ in hits.values())
+            strength = dict(zip(model.terms, model.strengths))
+            cluster = max(sum(i <= j < i + 4 * model.window for j in hits) for i in hits)
+            x = [np.log1p(exact), np.log1p(len(hits) - exact), np.log1p(len({t for _, t in hits.values()})), len(hits) / len(tokens), np.log1p(cluster)]
+            x += [max((strength[t] for e, t in hits.values() if e == 0), default=0.0), quoted / len(hits), addressed / len(hits)]
+        score = 1 / (1 + np.exp(-(np.dot(x, model.weights[:-1]) + model.weights[-1])))
+        assert r.score == pytest.approx(score, abs=1e-9) and r.predicted == int(score >= 0.3), r.text
+
+
+def test_quality_whole_result_against_brute_force(spark):
+    """Every rate by adding up all other labelled rows of the path and host."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(["ab", "cd!", "EF", "gh.", "9"]) for _ in range(rng.randint(0, 30))), f"h{i % 7 % 4}", f"p{i % 5}") for i in range(240)] + [(None, "ab cd", "h0", "p0")] * 3
+    labels = {i: int(rng.random() < 0.3 + 0.15 * (i % 4)) for i in range(240) if i % 3}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, host string, path string")
+    known = spark.createDataFrame([(i, q, 0) for i, q in labels.items()], "doc_id long, quality int, toxic int")
+    got = quality.score_quality(docs, known, F.col("host"), F.concat("host", "path")).collect()
+    used = [r for r in rows if r[0] in labels and zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    x, y = np.array([quality.features_of(r[1]) for r in used]), np.array([labels[r[0]] for r in used], float)
+    table = sorted(map(tuple, np.column_stack([y, x])))
+    prior = y.mean()
+    fitted = np.array(table)
+    weights = np.array(toxicity.fit_logistic(np.hstack([fitted[:, 1:], fitted[:, 1:] ** 2]), fitted[:, 0], ridge=1e-3))
+
+    def strength(group):
+        sums = {}
+        for r in used:
+            n, good = sums.get(group(r), (0, 0))
+            sums[group(r)] = (n + 1, good + labels[r[0]])
+        sums = [s for s in sums.values() if s[0] >= 2]
+        spread = sum(n * (good / n - prior) ** 2 for n, good in sums)
+        between = max(1e-6, (spread - (len(sums) - 1) * prior * (1 - prior)) / sum(n for n, _ in sums))
+        return min(1000.0, max(2.0, prior * (1 - prior) / between))
+
+    host_strength, path_strength = strength(lambda r: r[2]), strength(lambda r: r[2] + r[3])
+    want = {}
+    for r in rows:
+        f = np.array(quality.features_of(r[1]))
+        evidence = np.clip(np.dot(np.hstack([f, f * f]), weights[:-1]) + weights[-1] - np.log(prior / (1 - prior)), -8, 8)
+        host = [labels[o[0]] for o in used if o[2] == r[2] and o is not r]
+        path = [labels[o[0]] for o in used if o[2:] == r[2:] and o is not r]
+        host_rate = (sum(host) + host_strength * prior) / (len(host) + host_strength)
+        path_rate = (sum(path) + path_strength * host_rate) / (len(path) + path_strength)
+        want[r[0]] = (evidence, host_rate, path_rate, 1 / (1 + np.exp(-(np.log(path_rate / (1 - path_rate)) + evidence))))
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.evidence, r.host_rate, r.path_rate, r.score) == pytest.approx(want[r.doc_id], abs=1e-7)
+
+
+def test_language_whole_result_against_brute_force(spark):
+    """Every prediction from trigrams bound one by one."""
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choice(TEXTS[lang] + " -É9") for _ in range(rng.randint(0, 60))), lang if i % 9 else None) for i, lang in enumerate(list(TEXTS) * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    letters, table = langid.letter_vectors(1024, 7).astype(float), langid.slot_table()
+
+    def bundle(text):
+        slots = [0]
+        for c in text + " ":
+            s = int(table[ord(c)])
+            if s or slots[-1]:
+                slots.append(s)
+        grams = [(a, b, c) for a, b, c in zip(slots, slots[1:], slots[2:]) if b or (a and c)]
+        return sum((np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c] for a, b, c in grams), np.zeros(1024))
+
+    sums = {}
+    for i, text, lang in rows:
+        if lang and zlib.crc32(str(i).encode()) % 4 != 2:
+            sums[lang] = sums.get(lang, 0) + bundle(text)
+    for r in langid.language_digest(docs).join(docs.select("doc_id", "text"), "doc_id").collect():
+        mine = bundle(r.text)
+        if not mine.any():
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        cosines = {lang: mine @ s / np.linalg.norm(mine) / np.linalg.norm(s) for lang, s in sums.items()}
+        assert r.score == pytest.approx(max(0, max(cosines.values())), abs=1e-5)
+        assert cosines[r.lang_pred] == pytest.approx(max(cosines.values()), abs=1e-5)
