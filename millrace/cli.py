@@ -12,11 +12,14 @@ from .operators.clean import CleanConfig
 from .operators.mixture import MixtureConfig
 from .operators.scoring import judged, score
 from .plans import layers
+from .plans.ingest import ingest
 
-STEPS = ("clean", "audit", "mixture", "export", "holdout", "score")
+STEPS = ("ingest", "clean", "audit", "mixture", "export", "holdout", "score")
 
 
 def run_step(spark: SparkSession, step: str, config: dict, overwrite: bool) -> dict:
+    if step == "ingest":
+        return ingest(spark, config["dataset"], config.get("catalog"), overwrite)
     layout, run = layers.Layout(config.get("root", "")), config.get("run_id", "run")
     if step == "clean":
         return layers.clean(spark, config["raw"], layout, run, CleanConfig(**config.get("clean", {})), overwrite)

@@ -54,3 +54,10 @@ def uuid5(name: Column, namespace: str = NAMESPACE_URL) -> Column:
 def rank_key(seed: int, purpose: str, stratum: Column, ident: Column) -> Column:
     """A reproducible pseudo-random order within a stratum: the SHA-256 of seed, purpose, stratum and id."""
     return sha256(F.concat_ws(":", F.lit(str(seed)), F.lit(purpose), stratum, ident))
+
+
+def strict_json(value: Column, field: str) -> Column:
+    """A JSON text as VARIANT; null stays null, and text that is no JSON is an error that names the field."""
+    parsed = F.try_parse_json(value)
+    wrong = value.isNotNull() & parsed.isNull()
+    return F.when(wrong, F.raise_error(F.concat(F.lit(f"invalid JSON in {field}: "), F.substring(value, 1, 80))).cast("variant")).otherwise(parsed)

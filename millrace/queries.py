@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import messages as M
 from .functions.text import clean_text
-from .operators import audit, documents, mixture, raw, records, scoring, sharegpt
+from .operators import audit, documents, mixture, raw, records, scoring, seeded, sharegpt
 from .operators.clean import CleanConfig, bronze, drop_counts, silver
 from .sources import catalog, scan
 from .streaming.incremental import windowed_counts
@@ -405,6 +405,22 @@ def ingest_sample(spark, sf_dir):
     return scan.hashed_sample(table(spark, sf_dir, "documents"), 100, 42, "doc_id").select("doc_id", "lang")
 
 
+@query("SELECT doc_id, source, lang FROM documents WHERE doc_id >= 20 AND doc_id < 170 AND (doc_id % 7 <> 3 OR doc_id IN (24, 31))")
+def id_slices(spark, sf_dir):
+    slice_ = scan.id_range(table(spark, sf_dir, "documents").select("doc_id", "source", "lang"), "doc_id", 20, 170)
+    return slice_.where("doc_id % 7 <> 3").unionByName(scan.id_list(slice_.where("doc_id % 7 = 3"), "doc_id", [24, 31]))
+
+
+#: Rows that the seeded sample draws of each language.
+DRAWN = {"en": 40, "fr": 10, "de": 10, "es": 5}
+
+
+@query(None)
+def mt19937_sample(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return seeded.seeded_sample(rows, DRAWN, 20260710, "source:{}", "lang", ("doc_id",), whole=True)
+
+
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS starts, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def daily_events(spark, sf_dir):
     return windowed_counts(table(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))

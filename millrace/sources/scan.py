@@ -40,6 +40,16 @@ def first_rows(df: DataFrame, n: int, *order: str) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
+def id_range(df: DataFrame, column: str, start: int, end: int) -> DataFrame:
+    """Rows whose id is from ``start`` up to, not including, ``end``; pushed down to the scan."""
+    return df.where((F.col(column) >= start) & (F.col(column) < end))
+
+
+def id_list(df: DataFrame, column: str, ids: list) -> DataFrame:
+    """Rows whose id is listed; the list is a configuration's."""
+    return df.where(F.col(column).isin(*ids)) if ids else df.limit(0)
+
+
 def ranked(df: DataFrame, by: list[str], order: list, n: int) -> DataFrame:
     """The first ``n`` rows of each group."""
     w = Window.partitionBy(*by).orderBy(*order)

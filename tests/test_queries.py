@@ -105,3 +105,24 @@ def test_components_of_large_graphs(spark, monkeypatch):
     monkeypatch.setattr(alike, "HOT_SHARE", 5)
     monkeypatch.setattr(alike, "join_counted", lambda *a, inner=alike.join_counted, **k: inner(*a, few=-1, **k))
     assert {r.node: r.root for r in alike.connected_components(df, "a", "b").collect()} == want
+
+
+def test_samples_against_the_table(spark, duck):
+    """The seeded sample is that of a generator of its own over each language's sorted ids; the hashed one is the first rows by hash."""
+    import hashlib
+    import random
+
+    from millrace.queries import DRAWN
+
+    docs = duck.sql("select doc_id, lang from documents order by doc_id").fetchall()
+    got = sorted((r.lang, r.drawn, r.doc_id) for r in QUERIES["mt19937_sample"](spark, FOLDER).collect())
+    want = []
+    for lang, n in DRAWN.items():
+        ids = [i for i, x in docs if x == lang]
+        if n < len(ids):
+            ids = random.Random(20260710 + int.from_bytes(hashlib.sha256(f"source:{lang}".encode()).digest()[:8], "big")).sample(ids, n)
+        want += [(lang, k, i) for k, i in enumerate(ids)]
+    assert got == sorted(want)
+    hashes = spark.read.parquet(f"{FOLDER}/documents.parquet").selectExpr("doc_id", "lang", "xxhash64(42, doc_id) as h").collect()
+    first = {(r.doc_id, r.lang) for r in sorted(hashes, key=lambda r: (r.h, r.doc_id))[:100]}
+    assert {tuple(r) for r in QUERIES["ingest_sample"](spark, FOLDER).collect()} == first
