@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, is_held_out, join_counted, least_by_hash, map_arrow
-from .toxicity import fit_logistic
+from .common import cut_lineage, is_held_out, join_counted, map_arrow
+from .toxicity import logistic_sums, newton
 
 FEATURES = ("length", "distinct", "runs", "upper", "symbols", "marks", "digits", "word_length", "lines", "sentences")
 _SYMBOL = re.compile(r"[^\w\s.,;:'’()\-]")
@@ -81,13 +81,38 @@ def _strength(groups: DataFrame, mean: float) -> float:
     return float(min(1000.0, max(2.0, chance / between)))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column, key: str = "doc_id", text: str = "text", sample: int = 20_000, threshold: float = 0.5) -> DataFrame:
+def fit_evidence(labelled: DataFrame, n: int, ridge: float = 1e-3) -> list[float]:
+    """Weights of FEATURES, their squares and the constant, fitted to ``__good`` of all ``n`` rows of ``labelled``.
+
+    Each Newton step is a pass over the rows; only sums come to the driver. The weights are rounded, so
+    that the order in which tasks are added up doesn't show.
+    """
+    size = 2 * len(FEATURES) + 1
+    slim = labelled.select("__good", *FEATURES)
+
+    def sums(w: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(size + size * size)
+            for batch in batches:
+                x = _squares(np.column_stack([c.to_numpy() for c in batch.columns[1:]]))
+                slope, curve = logistic_sums(np.hstack([x, np.ones((len(x), 1))]), batch.column(0).to_numpy(), w)
+                total += np.concatenate([slope, curve.ravel()])
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], names=["i", "part"])
+
+        parts = map_arrow(slim, run, "i int, part double").groupBy("i").agg(F.sum("part").alias("part")).collect()
+        total = np.zeros(size + size * size)
+        total[[r.i for r in parts]] = [r.part for r in parts]
+        return n, total[:size], total[size:].reshape(size, size)
+
+    return np.round(newton(size, sums, ridge), 9).tolist()
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
     """``doc_id, held_out, evidence, host_rate, path_rate, score, keep`` of every row.
 
     ``evidence`` is the classifier's log-odds beyond the prior, held to -8 to 8, ``*_rate`` the shrunken shares of good
-    rows, ``score`` the posterior probability of good quality. The classifier learns from at most
-    ``sample`` labelled rows, in the order of their ids' hash; the rates from all labelled rows that are
-    not held out, but a row's own. An id with several labels counts as good if all are; of its repeated rows each
+    rows, ``score`` the posterior probability of good quality. The classifier and the prior learn from all
+    labelled rows that are not held out; the rates from the same rows, but a row's own. An id with several labels counts as good if all are; of its repeated rows each
     leaves out one label. Null hosts and paths are groups
     of their own; null and empty texts have features of zero; without labels every score is 0.5 and
     every row is kept; an empty table gives an empty result.
@@ -97,12 +122,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column
     rows = cut_lineage(measure(docs, key, text, kept))
     # rows without an id have no label, and would meet in one task
     rows = rows.where("doc_id IS NOT NULL").join(known, "doc_id", "left").unionByName(rows.where("doc_id IS NULL").withColumn("__good", F.lit(None).cast("double")))
-    labelled = rows.where("__good IS NOT NULL")
-    taken = least_by_hash(labelled, "doc_id", sample).select("__good", *FEATURES).toPandas()
-    taken = taken.sort_values(list(taken.columns), kind="stable")
-    y, x = taken["__good"].to_numpy(), _squares(taken[list(FEATURES)].to_numpy(np.float64).reshape(-1, len(FEATURES)))
-    prior = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.5
-    weights = fit_logistic(x, y, ridge=1e-3) if len({*y}) == 2 else [0.0] * (2 * len(FEATURES)) + [float(np.log(prior / (1 - prior)))]
+    labelled = cut_lineage(rows.where("__good IS NOT NULL").select("host", "path", "__good", *FEATURES))
+    seen = labelled.agg(F.count("*").alias("n"), F.avg("__good").alias("mean"), F.countDistinct("__good").alias("kinds")).first()
+    prior = float(np.clip(seen.mean, 0.01, 0.99)) if seen.n else 0.5
+    weights = fit_evidence(labelled, seen.n) if seen.kinds == 2 else [0.0] * (2 * len(FEATURES)) + [float(np.log(prior / (1 - prior)))]
     n = len(FEATURES)
     odds = sum((F.col(f) * float(weights[j]) + F.col(f) * F.col(f) * float(weights[n + j]) for j, f in enumerate(FEATURES)), F.lit(float(weights[-1])))
     # damped, as neither the classifier nor the record of a site is sure of itself

@@ -216,20 +216,30 @@ def choose_terms(toxic: dict[str, int], clean: dict[str, int], precision: float)
     return sorted(set(terms))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 60) -> list[float]:
-    """Ridge logistic regression by Newton steps; the last weight is the constant."""
-    a = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(a.shape[1])
+def newton(size: int, sums: Callable[[np.ndarray], tuple[int, np.ndarray, np.ndarray]], ridge: float = 1e-2, rounds: int = 60) -> list[float]:
+    """Ridge logistic regression by Newton steps; ``sums`` gives, for weights, the number of rows and ``logistic_sums``."""
+    w = np.zeros(size)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        curve = (a * (p * (1 - p))[:, None]).T @ a / len(a) + ridge / 10 * np.eye(len(w))
-        step = np.linalg.solve(curve, a.T @ (y - p) / len(a) - ridge / 10 * w)
+        n, slope, curve = sums(w)
+        step = np.linalg.solve(curve / n + ridge / 10 * np.eye(size), slope / n - ridge / 10 * w)
         w = w + step * min(1.0, 5 / max(1e-9, np.abs(step).max()))
         if np.abs(step).max() < 1e-6:
             break
     return w.tolist()
 
 
+def logistic_sums(a: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slope and curvature of the log-likelihood at weights ``w``, added up over rows."""
+    p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+    return a.T @ (y - p), (a * (p * (1 - p))[:, None]).T @ a
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 60) -> list[float]:
+    """Ridge logistic regression of rows in memory; the last weight is the constant."""
+    a = np.hstack([x, np.ones((len(x), 1))])
+    return newton(a.shape[1], lambda w: (len(a), *logistic_sums(a, y, w)), ridge, rounds)
+
+
 def fit_rising(x: np.ndarray, y: np.ndarray, rising: int) -> list[float]:
     """A regression in which more of the first ``rising`` features never lowers the score: those that would are left out."""
     used = np.ones(x.shape[1], bool)

@@ -248,6 +248,22 @@ def test_quality_whole_result_against_brute_force(spark):
         assert (r.evidence, r.host_rate, r.path_rate, r.score) == pytest.approx(want[r.doc_id], abs=1e-7)
 
 
+def test_quality_learns_from_all_labelled_rows(spark):
+    """More labelled rows than were once sampled; prior and weights are those of a fit in memory over each of them."""
+    kinds = ["ab cd ef", "AB CD!", "ab ab 9.", "gh. ij. kl"]
+    rows = [(i, kinds[i * 7 % 4], int(zlib.crc32(b"%d x" % i) % 10 < 2 + i * 7 % 4 * 2)) for i in range(30_000)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    used = [(kinds.index(t), q) for i, t, q in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert len(used) > 20_000
+    x, (at, y) = np.array([quality.features_of(t) for t in kinds]), np.array(used).T
+    x = np.hstack([x, x * x])
+    weights, prior = np.array(toxicity.fit_logistic(x[at], y, ridge=1e-3)), y.mean()
+    want = x @ weights[:-1] + weights[-1] - np.log(prior / (1 - prior))
+    got = quality.score_quality(docs, labels, F.lit("h"), F.lit("p")).where("doc_id < 4").collect()
+    assert len(got) == 4 and all(r.evidence == pytest.approx(want[r.doc_id * 7 % 4], abs=1e-7) for r in got)
+
+
 def test_language_whole_result_against_brute_force(spark):
     """Every prediction from trigrams bound one by one."""
     rng = random.Random(5)
