@@ -15,9 +15,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import alike
 from .common import BROADCAST_NUMBERS, CONTENT, content_numbers, cut_lineage, join_counted
 
 VARIABLE = "<*>"
+#: Words of 64 bits in which texts that lose lines are marked; so many rows are broadcast at most.
+WORDS = 1 << 18
 #: A token that holds a digit.
 HOLED = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
 
@@ -49,15 +52,31 @@ def group_templates(lines: DataFrame, similar: float) -> DataFrame:
     """``lines`` (``g, a, b, tokens``) with ``taken``: whether a line takes its group's template.
 
     A place is constant if more than half of the group's lines, and two at least, have the same token there.
+    Groups are dealt out whole, once, and vote where they are; hot ones send votes, so that none of them gathers in a task.
     """
     sizes = cut_lineage(lines.groupBy("g").agg(F.count("*").alias("lines")).where("lines > 1"))
-    votes = lines.select("g", F.posexplode("tokens").alias("i", "t")).groupBy("g", "i", "t").agg(F.count("*").alias("votes")).where("votes >= 2")
-    constants = join_counted(votes, sizes.withColumn("size", F.col("lines")), ["g"], "lines").where("votes * 2 > size")
-    # a group has one constant for each place at most
-    templates = constants.groupBy("g").agg(F.first("size").alias("lines"), F.collect_list(F.struct("i", "t")).alias("constants"))
-    hits = F.size(F.filter("constants", lambda c: F.get("tokens", c["i"]) == c["t"]))
-    met = join_counted(lines, cut_lineage(templates), ["g"], "lines", "left")
-    return met.select("g", "a", "b", "tokens", F.coalesce(hits >= similar * F.size("tokens"), F.lit(False)).alias("taken"))
+    total = sizes.agg(F.sum("lines")).first()[0] or 0
+    hot = sizes.where(F.col("lines") * alike.HOT_SHARE > total)
+
+    def voted(some: DataFrame) -> DataFrame:
+        return some.select("g", F.posexplode("tokens").alias("i", "t")).groupBy("g", "i", "t").agg(F.count("*").alias("votes")).where("votes >= 2")
+
+    def gathered(constants: DataFrame, *more: Column) -> DataFrame:
+        # a group has one constant for each place at most
+        return constants.where("votes * 2 > size").groupBy("g").agg(*more, F.collect_list(F.struct("i", "t")).alias("constants"))
+
+    def marked(met: DataFrame) -> DataFrame:
+        hits = F.size(F.filter("constants", lambda c: F.get("tokens", c["i"]) == c["t"]))
+        return met.select("g", "a", "b", "tokens", F.coalesce(hits >= similar * F.size("tokens"), F.lit(False)).alias("taken"))
+
+    many = hot.count()
+    cold = (lines.join(F.broadcast(hot.select("g")), "g", "left_anti") if many else lines).repartition("g")
+    out = marked(cold.join(gathered(voted(cold).join(cold.groupBy("g").agg(F.count("*").alias("size")), "g")), "g", "left"))
+    if not many:
+        return out
+    warm = lines.join(F.broadcast(hot.select("g")), "g")
+    templates = gathered(join_counted(voted(warm), hot.withColumn("size", F.col("lines")), ["g"], "lines"), F.first("size").alias("lines"))
+    return out.unionByName(marked(join_counted(warm, cut_lineage(templates), ["g"], "lines", "left")))
 
 
 def split_groups(lines: DataFrame, depth: int) -> DataFrame:
@@ -116,6 +135,25 @@ def dropped_lines(docs: DataFrame, text: str = "text", depth: int = 3, similar:
     return gone.groupBy(*CONTENT).agg(F.collect_set("place").alias("places"), F.count("*").alias("sent")).select(*CONTENT, "places", F.expr("sent div size(places)").alias("n"))
 
 
+def join_marked(rows: DataFrame, table: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """``rows`` left-joined with ``table`` on ``keys``, the first of which is a hash; column ``n`` tells how many rows have a key, and goes.
+
+    The table's keys are marked in a field of bits, which is broadcast. Rows without a mark have no match
+    and those of hot keys meet a broadcast one; the others alone are shuffled, those marked by chance included.
+    """
+    bit, word = (F.col(keys[0]) % 64).cast("int"), F.shiftright(keys[0], 6) % WORDS
+    marks = table.select(word.alias("__word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("__bits"))
+    marks = cut_lineage(marks.groupBy("__word").agg(F.bit_or("__bits").alias("__bits")))
+    total = table.agg(F.sum(n)).first()[0] or 0
+    hot = table.where(F.col(n) * alike.HOT_SHARE > total).drop(n)
+    marked = rows.withColumn("__word", word).join(F.broadcast(marks), "__word", "left")
+    marked = marked.withColumn("__met", F.coalesce(F.call_function("shiftrightunsigned", "__bits", bit).bitwiseAND(1) == 1, F.lit(False))).drop("__word", "__bits")
+    known = marked.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), keys, "left")
+    here = known.where("NOT __met OR __hot").drop("__met", "__hot")
+    apart = marked.where("__met").drop("__met").join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return here.unionByName(apart.join(table.drop(n), keys, "left"))
+
+
 def drop_recurring_lines(docs: DataFrame, text: str = "text", counts: bool = False, **options) -> DataFrame:
     """``docs`` with the lines of recurring templates taken out of ``text``; all rows and columns stay.
 
@@ -131,7 +169,7 @@ def drop_recurring_lines(docs: DataFrame, text: str = "text", counts: bool = Fal
     gone = cut_lineage(dropped_lines(docs.select(text), text, **options))
     names = ["__c1", "__c2", "__places", "__n"]
     numbered = docs.select("*", *(c.alias(n) for c, n in zip(content_numbers(F.col(text)), names)))
-    joined = join_counted(numbered, gone.toDF(*names), names[:2], "__n", "left", few=0)
+    joined = join_marked(numbered, gone.toDF(*names), names[:2], "__n")
     pieces = F.split(text, "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), "__places")
     # the text is split once, and its lines taken by number

@@ -1,3 +1,4 @@
+import hashlib
 import os
 
 import pytest
@@ -46,6 +47,48 @@ def test_hot_keys_apart(spark, monkeypatch):
         assert drop(spark, texts) == want
 
 
+def test_groups_dealt_whole_or_voting(spark, monkeypatch):
+    """All groups hot, some and none give the same rows."""
+    families = ["see the notes {} this page was written by our staff", "see the notes {} all rights stay with their first owner", "look at it {} now that all is here to see"]
+    texts = [f"{f.format('w' + x)}\nown {x} {'xyz'[k]}" for k, f in enumerate(families) for x in "abcdefg"]
+    got = []
+    for share in (10**9, 3, 0):
+        monkeypatch.setattr(alike, "HOT_SHARE", share)
+        got.append(drop(spark, texts))
+    assert got[0] == got[1] == got[2] and sum("see the notes" in t or "look at it" in t for t in got[0]) == 3
+
+
+def test_marked_join_is_a_left_join(spark, monkeypatch):
+    """With null, repeated and hot keys, keys that share a mark, and an empty table."""
+    rows = spark.createDataFrame([(None, None, "n")] * 2 + [(i * 977, i % 3, f"v{i}") for i in range(300)] + [(0, 0, "again")] * 50, "k long, l long, v string")
+    table = spark.createDataFrame([(i * 977, i % 3 if i % 2 else 0, 51 if i == 0 else 1, [i]) for i in range(0, 300, 4)] + [(977, 2, 1, [1])], "k long, l long, n long, p array<int>")
+    for some in (table, table.limit(0)):
+        want = sorted(map(repr, rows.join(some.drop("n"), ["k", "l"], "left").select("k", "l", "v", "p").collect()))
+        for words, share in ((lt.WORDS, 1000), (1, 1000), (2, 3), (lt.WORDS, 0)):
+            monkeypatch.setattr(lt, "WORDS", words)
+            monkeypatch.setattr(alike, "HOT_SHARE", share)
+            assert sorted(map(repr, lt.join_marked(rows, some, ["k", "l"], "n").select("k", "l", "v", "p").collect())) == want
+
+
+def test_texts_that_keep_all_lines_are_not_shuffled(spark):
+    gateway, store = spark.sparkContext._gateway, spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    texts = ["".join(hashlib.sha256(b"%d %d" % (i, j)).hexdigest() for j in range(100)) for i in range(100)] + [f"one line that stands in each\n{x}" for x in "ab"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    before = shuffled()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert sum("one line" in r.text for r in lt.drop_recurring_lines(df).collect()) == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert 0 < shuffled() - before < 0.2 * sum(map(len, texts))
+
+
 def test_unlike_lines_stay(spark):
     texts = ["the big red fox jumps over some lazy dogs", "the big red house stands near our old river"]
     assert drop(spark, texts) == texts
