@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.alike import BROADCAST_KEYS, BROADCAST_NUMBERS, cut_lineage, join_counted, stream_groups  # noqa: F401
+from ..operators.alike import BROADCAST_KEYS, BROADCAST_NUMBERS, cut_lineage, join_counted, released, stream_groups  # noqa: F401
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,4 +53,4 @@ def crc32_of(data: bytes) -> int:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(released(fn), schema)

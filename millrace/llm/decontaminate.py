@@ -21,7 +21,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, map_arrow
+from .common import cut_lineage, map_arrow, released
 
 _WORD = re.compile(r"\w+")
 #: Odd multipliers of the shingle hash (of our own choice: any odd constants do).
@@ -282,5 +282,5 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", **opti
             yield batch.filter(pa.array([not leaks_of(v.as_py(), shared.value) for v in batch.column(names.index(text))], pa.bool_()))
 
     for shared, end in passes(docs, benchmark, **options):
-        docs = end(docs.mapInArrow(partial(run, shared), docs.schema))
+        docs = end(docs.mapInArrow(released(partial(run, shared)), docs.schema))
     return docs

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, is_held_out, least_by_hash, map_arrow
+from .common import cut_lineage, is_held_out, least_by_hash, map_arrow, released
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 #: Words of reporting and of address, and quotation marks.
@@ -332,9 +332,11 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) ->
         for batch in batches:
             x = np.array([features_of(v.as_py() or "", matcher, model.window) for v in batch.column(names.index("text"))], np.float64).reshape(-1, len(FEATURES))
             scores = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30))) if len(weights) else np.zeros(len(x))
-            yield batch.filter(pa.array(scores < threshold))
+            left = batch.filter(pa.array(scores < threshold))
+            # whole rows go back in small batches, each of which is held outside the heap
+            yield from (left.slice(at, 1_000) for at in range(0, left.num_rows, 1_000))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
 
 
 def toxicity_digest(documents: DataFrame, labels: DataFrame) -> DataFrame:

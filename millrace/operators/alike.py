@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -24,6 +25,21 @@ HOT_SHARE = 1000
 ORDER_ROWS, ORDER_MEMBERS = 4_000, 200_000
 
 
+def released(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``fn``, after whose last batch the worker returns what it has freed to the system, as workers live on after their task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+            if trim:
+                trim(0)
+
+    return run
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder, so that a lost executor costs no recomputation.
 
@@ -182,7 +198,7 @@ def links_in_buckets(buckets: DataFrame, by: list[str], sets: DataFrame, similar
                 ids = group.column("rep").combine_chunks()
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), ids.take(pa.array(j))], names=["a", "b"])
 
-    return dealt.mapInArrow(run, f"a {kind}, b {kind}")
+    return dealt.mapInArrow(released(run), f"a {kind}, b {kind}")
 
 
 def member_order(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -249,7 +265,7 @@ def promising(buckets: DataFrame, by: list[str], tallies: DataFrame, similar: fl
                 yield pa.RecordBatch.from_arrays([some.column(n).combine_chunks() for n in names], names=names)
 
     kinds = dict(buckets.dtypes)
-    return dealt.mapInArrow(run, ", ".join(f"{n} {kinds[n]}" for n in names)).distinct()
+    return dealt.mapInArrow(released(run), ", ".join(f"{n} {kinds[n]}" for n in names)).distinct()
 
 
 def prefixes(sets: DataFrame, similar: float, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -262,7 +278,7 @@ def prefixes(sets: DataFrame, similar: float, order: tuple[np.ndarray, np.ndarra
             taken, tallies = [prefix_of(m, similar, shared.value) for m in all_], [tally_of(m) for m in all_]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(taken, pa.list_(pa.int64())), pa.array(tallies, pa.binary())], names=["rep", "members", "tally"])
 
-    return sets.select("rep", "members").mapInArrow(run, f"rep {dict(sets.dtypes)['rep']}, members array<long>, tally binary")
+    return sets.select("rep", "members").mapInArrow(released(run), f"rep {dict(sets.dtypes)['rep']}, members array<long>, tally binary")
 
 
 def similar_components(heads_of: Callable[[DataFrame], DataFrame], sets_of: Callable[[DataFrame], DataFrame], tallies: DataFrame, chosen: DataFrame, links: DataFrame, similar: float) -> DataFrame:

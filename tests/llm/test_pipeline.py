@@ -112,3 +112,30 @@ def test_run(spark, seen, folder):
 def test_every_operator_is_registered():
     names = entry.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+
+
+def test_workers_return_what_they_freed():
+    """A freed block under one that is still held stays with the process unless it is returned."""
+    import resource
+
+    from millrace.llm.common import map_arrow
+
+    class Frame:
+        def mapInArrow(self, fn, schema):
+            return fn
+
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * resource.getpagesize() / 1e6
+
+    pins = []
+
+    def work(batches):
+        held = [b"%d" % i * 200 for i in range(100_000)]
+        pins.append(b"%d" % len(held) * 200)
+        del held
+        yield from batches
+
+    before = resident()
+    assert list(map_arrow(Frame(), work, "")(iter([1, 2]))) == [1, 2]
+    assert resident() - before < 30
