@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.alike import ORDER_ROWS, SET_TILE, member_order, prefix_of, similar_components, tally_of, tiled
+from ..operators.alike import ORDER_ROWS, SET_TILE, fine_tally_of, member_order, prefix_of, similar_components, tally_of, tiled
 from .common import BROADCAST_KEYS, CONTENT, content_numbers, cut_lineage, join_counted, map_arrow, stream_groups
 from .components import connected_components
 from .simhash import fingerprint, shingle_hashes, words_of
@@ -148,19 +148,19 @@ def numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def sketches(texts: DataFrame, words: int, orders: int) -> DataFrame:
-    """``key, c1, c2, n, fp, least, tally`` of each row: different shingles, their fingerprint, the least ones, their tally."""
-    names, kind = ["key", *CONTENT, "n", "fp", "least", "tally"], dict(texts.dtypes)["key"]
+    """``key, c1, c2, n, fp, least, tally, fine`` of each row: different shingles, their fingerprint, the least ones, their tallies."""
+    names, kind = ["key", *CONTENT, "n", "fp", "least", "tally", "fine"], dict(texts.dtypes)["key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for value in batch.column(3):
                 h = np.unique(shingle_hashes(words_of(value.as_py()), words))  # sets, as in the similarity: a repeated passage has no more votes
-                rows.append((len(h), np.uint64(fingerprint(h)).view(np.int64), least_shingles(h, orders), tally_of(h)))
-            n, fp, least, tally = zip(*rows) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int32()), pa.array(fp, pa.int64()), pa.array(least, pa.list_(pa.int64())), pa.array(tally, pa.binary())], names=names)
+                rows.append((len(h), np.uint64(fingerprint(h)).view(np.int64), least_shingles(h, orders), tally_of(h), fine_tally_of(h)))
+            n, fp, least, *tallies = zip(*rows) if rows else ((), (), (), (), ())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int32()), pa.array(fp, pa.int64()), pa.array(least, pa.list_(pa.int64())), *(pa.array(t, pa.binary()) for t in tallies)], names=names)
 
-    return map_arrow(texts, run, f"key {kind}, c1 long, c2 long, n int, fp long, least array<long>, tally binary")
+    return map_arrow(texts, run, f"key {kind}, c1 long, c2 long, n int, fp long, least array<long>, tally binary, fine binary")
 
 
 def _sets(texts: DataFrame, words: int, prefix: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
@@ -250,14 +250,14 @@ def _classes(docs: DataFrame, key: str, text: str, words: int, similar: float, r
     """
     texts = numbered(docs, key, text)
     rows = cut_lineage(sketches(texts, words, orders))
-    classes = rows.groupBy(*CONTENT).agg(F.count("*").alias("copies"), F.min("key").alias("first"), *(F.any_value(c).alias(c) for c in ("n", "fp", "least", "tally")))
+    classes = rows.groupBy(*CONTENT).agg(F.count("*").alias("copies"), F.min("key").alias("first"), *(F.any_value(c).alias(c) for c in ("n", "fp", "least", "tally", "fine")))
     classes = cut_lineage(classes.withColumn("uid", F.monotonically_increasing_id()))  # lasts, as it is written here
     filled = classes.where("n > 0")
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         """``uid, c1, c2, text`` of ``wanted`` (``c1, c2, uid, copies``), once each."""
         met = join_counted(texts.select(*CONTENT, "text"), wanted, CONTENT, "copies", few=BROADCAST_KEYS * 4)
-        return met.groupBy("uid", *CONTENT).agg(F.any_value("text").alias("text"))
+        return met.groupBy("uid").agg(*(F.any_value(c).alias(c) for c in (*CONTENT, "text")))  # by uid alone, by which it is joined next
 
     def sets_of(ids: DataFrame) -> DataFrame:
         wanted = cut_lineage(classes.join(ids.withColumnRenamed("rep", "uid"), "uid", "left_semi").select(*CONTENT, "uid", "copies"))
@@ -272,7 +272,7 @@ def _classes(docs: DataFrame, key: str, text: str, words: int, similar: float, r
         named = filled.select(*CONTENT, F.col("uid").alias("rep")).join(labels, "rep")
         return _sets(texts, words, lambda s: prefix_of(s, similar, shared.value)).dropDuplicates(CONTENT).join(named, CONTENT).select("rep", "root", "members")
 
-    ids = filled.select(F.col("uid").alias("rep"), "tally")
+    ids = filled.select(F.col("uid").alias("rep"), "tally", "fine")
     roots = cut_lineage(similar_components(heads_of, sets_of, ids, ids.select("rep"), links, similar))
     blank = classes.where("n = 0").agg(F.min("uid")).first()[0]  # texts without words are one group
     group = F.when(F.col("n") == 0, F.lit(blank)).otherwise(F.coalesce("root", "uid"))

@@ -23,6 +23,8 @@ BROADCAST_NUMBERS = 500_000
 HOT_SHARE = 1000
 #: Texts and commonest members by which the order of prefixes is chosen.
 ORDER_ROWS, ORDER_MEMBERS = 4_000, 200_000
+#: Members a bin of a fine tally has on average, at most: unrelated sets then share too few by their tallies to be at 0.8.
+FINE = 8
 
 
 def released(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -224,38 +226,64 @@ def prefix_of(members: np.ndarray, similar: float, order: tuple[np.ndarray, np.n
     return members[np.lexsort((members, rank))[: len(members) - least + 1]]
 
 
-def tally_of(members: np.ndarray) -> bytes:
-    """How many members (64-bit hashes) have each of the 256 first bytes; none if a count is beyond a byte.
+def tally_of(members: np.ndarray, bins: int = 256) -> bytes:
+    """How many members (64-bit hashes) have each start of so many bits that there are ``bins`` (a power of two); none if a count is beyond a byte.
 
     Two sets share at most the sum of the lesser counts.
     """
-    counts = np.bincount(members.view(np.uint64) >> np.uint64(56), minlength=256)
+    counts = np.bincount(members.view(np.uint64) >> np.uint64(65 - bins.bit_length()), minlength=bins)
     return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
 
 
+def fine_tally_of(members: np.ndarray) -> bytes:
+    """The tally of a set for which 256 bins are too few, as most sets of its size would share enough by them; none for other sets."""
+    bins = 256
+    while bins * FINE < len(members):
+        bins *= 2
+    return tally_of(members, bins) if bins > 256 else b""
+
+
+def _counts(tallies: list[bytes], lengths: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By number of bins: the places, and the counts in so many bins, of all rows that have as many or more."""
+    if lengths.min() == lengths.max():
+        return {int(lengths[0]): (np.arange(len(lengths)), np.frombuffer(b"".join(tallies), np.uint8).reshape(len(lengths), -1))}
+    out = {}
+    for bins in np.unique(lengths):
+        held = np.flatnonzero(lengths >= bins)
+        place = np.full(len(lengths), -1)
+        place[held] = np.arange(len(held))
+        out[int(bins)] = place, np.array([np.frombuffer(tallies[i], np.uint8).reshape(bins, -1).sum(1, dtype=np.uint32) for i in held])
+    return out
+
+
 def may_link(tallies: list[bytes], roots: np.ndarray, similar: float) -> np.ndarray:
-    """Which rows can, by their tallies, be at ``similar`` with a row of another root; a row without a tally can with any."""
+    """Which rows can, by their tallies, be at ``similar`` with a row of another root; a row without a tally can with any.
+
+    Tallies of different numbers of bins are compared in the lesser number.
+    """
     if not all(tallies):
         return np.ones(len(roots), bool)
-    counts = np.frombuffer(b"".join(tallies), np.uint8).reshape(len(roots), 256)
-    sizes, met = counts.sum(1, dtype=np.int64), np.zeros(len(roots), bool)
+    lengths = np.array([len(t) for t in tallies])
+    counts = _counts(tallies, lengths)
+    sizes, met = counts[int(lengths.min())][1].sum(1, dtype=np.int64), np.zeros(len(roots), bool)
     order = np.argsort(sizes, kind="stable")
     ranked = sizes[order]
     for at, i in enumerate(order):
         later = order[at + 1 : np.searchsorted(ranked, sizes[i] / similar + 1e-6, "right")]
         later = later[roots[later] != roots[i]]
         if len(later):
-            most = np.minimum(counts[i], counts[later]).sum(1, dtype=np.int64)
+            place, bins = counts[int(min(lengths[i], lengths[later].min()))]
+            most = np.minimum(bins[place[i]], bins[place[later]]).sum(1, dtype=np.int64)
             fit = later[most >= similar * (sizes[i] + sizes[later] - most) - 1e-9]
             met[fit] = True
             met[i] |= bool(len(fit))
     return met
 
 
-def promising(buckets: DataFrame, by: list[str], tallies: DataFrame, similar: float) -> DataFrame:
+def promising(buckets: DataFrame, by: list[str], tallies: DataFrame, similar: float, tile: int = TILE) -> DataFrame:
     """The rows ``by, rep, root`` of buckets that can be at ``similar`` with another there, by ``tallies`` (``rep, tally``)."""
     deal, names = [*by, "lo", "hi"], [*by, "rep", "root"]
-    dealt = tiled(buckets, by, F.xxhash64("rep")).join(tallies, "rep").repartition(*deal).sortWithinPartitions(*deal).select(*deal, "rep", "root", "tally")
+    dealt = tiled(buckets, by, F.xxhash64("rep"), tile).join(tallies, "rep").repartition(*deal).sortWithinPartitions(*deal).select(*deal, "rep", "root", "tally")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in stream_groups(batches, deal):
@@ -268,26 +296,35 @@ def promising(buckets: DataFrame, by: list[str], tallies: DataFrame, similar: fl
     return dealt.mapInArrow(released(run), ", ".join(f"{n} {kinds[n]}" for n in names)).distinct()
 
 
+def finest(ids: DataFrame, tallies: DataFrame) -> DataFrame:
+    """``rep, tally`` of the ids ``rep`` of a table: of ``tallies`` (``rep, tally, fine``) the fine one, if there is one."""
+    ids = cut_lineage(ids.select("rep").distinct())
+    few = ids.count() <= BROADCAST_NUMBERS
+    best = F.when(F.length("fine") > 0, F.col("fine")).otherwise(F.col("tally"))
+    return tallies.join(F.broadcast(ids) if few else ids, "rep", "left_semi").select("rep", best.alias("tally"))
+
+
 def prefixes(sets: DataFrame, similar: float, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``rep, members, tally``: of each set (``rep, members``) its prefix (``prefix_of``) and tally."""
+    """``rep, members, tally, fine``: of each set (``rep, members``) its prefix (``prefix_of``) and tallies."""
     shared = sets.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             all_ = [one.values.to_numpy() for one in batch.column(1)]
-            taken, tallies = [prefix_of(m, similar, shared.value) for m in all_], [tally_of(m) for m in all_]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(taken, pa.list_(pa.int64())), pa.array(tallies, pa.binary())], names=["rep", "members", "tally"])
+            taken, tallies = [prefix_of(m, similar, shared.value) for m in all_], [pa.array([f(m) for m in all_], pa.binary()) for f in (tally_of, fine_tally_of)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(taken, pa.list_(pa.int64())), *tallies], names=["rep", "members", "tally", "fine"])
 
-    return sets.select("rep", "members").mapInArrow(released(run), f"rep {dict(sets.dtypes)['rep']}, members array<long>, tally binary")
+    return sets.select("rep", "members").mapInArrow(released(run), f"rep {dict(sets.dtypes)['rep']}, members array<long>, tally binary, fine binary")
 
 
 def similar_components(heads_of: Callable[[DataFrame], DataFrame], sets_of: Callable[[DataFrame], DataFrame], tallies: DataFrame, chosen: DataFrame, links: DataFrame, similar: float) -> DataFrame:
     """``node, root`` of the graph of all pairs of sets at a Jaccard similarity of ``similar``.
 
     ``heads_of`` gives ``rep, root, members`` of a table ``rep, root``, members being the prefix of each set, ``sets_of`` gives ``rep, members`` (distinct 64-bit hashes) of the ids ``rep`` of a table,
-    and ``tallies`` has ``rep, tally``. Ids that aren't in ``chosen`` (``rep``), such as copies, take no part.
+    and ``tallies`` has ``rep, tally, fine``. Ids that aren't in ``chosen`` (``rep``), such as copies, take no part.
     ``links`` (``a, b``) are some true links found by cheaper means: they save comparisons and decide
-    nothing. Every other pair that can be at ``similar`` meets by its prefixes; if tallies allow it, it is compared exactly.
+    nothing. Every other pair that can be at ``similar`` meets by its prefixes; if tallies allow it, first those of 256 bins
+    and then, of the few that are left, the fine ones of large sets, it is compared exactly.
     Empty sets link to none. Members are shuffled once, each with its set's id and root, and those that sets of one root have go at once.
     """
     found = cut_lineage(connected_components(links, "a", "b"))
@@ -298,7 +335,8 @@ def similar_components(heads_of: Callable[[DataFrame], DataFrame], sets_of: Call
     mixed = cut_lineage(known.withColumns({c: f.over(met) for c, f in marks.items()}).where("x <> y").drop("x", "y"))
     # members that the same sets have make one bucket
     buckets = mixed.join(mixed.groupBy("n", "p", "q").agg(F.min("member").alias("member")).select("member"), "member").select("member", "rep", "root")
-    buckets = cut_lineage(promising(cut_lineage(buckets), ["member"], tallies, similar))
+    buckets = cut_lineage(promising(cut_lineage(buckets), ["member"], tallies.select("rep", "tally"), similar))
+    buckets = cut_lineage(promising(buckets, ["member"], finest(buckets, tallies), similar, SET_TILE))
     wanted = cut_lineage(sets_of(buckets.select("rep").distinct()))
     more = links_in_buckets(buckets, ["member"], wanted, similar)
     return connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), "a", "b")

@@ -108,7 +108,7 @@ def minhash_pairs(docs: DataFrame, threshold: float = 0.8, bands: int = 8, rows:
     share = max(1, reps.count() // ORDER_ROWS)
     order = member_order(sets_of(chosen.where(F.pmod(F.xxhash64("rep"), F.lit(share)) == 0)))
     heads = cut_lineage(prefixes(shingle_sets(texts).withColumnRenamed("doc_id", "rep"), threshold, order).join(chosen, "rep", "left_semi").dropDuplicates(["rep"]))
-    roots = similar_components(lambda labels: heads.join(labels, "rep"), sets_of, heads.select("rep", "tally"), chosen, links, threshold).withColumnsRenamed({"node": "rep", "root": "near_id"})
+    roots = similar_components(lambda labels: heads.join(labels, "rep"), sets_of, heads.select("rep", "tally", "fine"), chosen, links, threshold).withColumnsRenamed({"node": "rep", "root": "near_id"})
     near = signed.select("doc_id", "c").join(reps.select("c", "rep"), "c").join(roots, "rep", "left").select("doc_id", F.coalesce("near_id", "rep").alias("near_id"))
     near = cut_lineage(near.where("doc_id <> near_id").distinct())
     sets = cut_lineage(sets_of(near.select(F.col("doc_id").alias("rep")).union(near.select("near_id")).distinct()))

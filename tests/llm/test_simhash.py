@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import near_dedup
 from millrace.llm.simhash import bit_counts
+from millrace.operators import alike
 
 
 def brute_print(text):
@@ -160,3 +161,37 @@ def test_near_copies_with_repeated_lines_against_brute_force(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for options in ({}, {"orders": 1, "radius": 3}):  # what the gates refuse is found all the same
         assert {r.key: r.root for r in near_dedup.near_copy_groups(df, **options).collect()} == root
+
+
+def test_fine_tallies_refuse_large_sets_and_lose_no_link():
+    rng = np.random.default_rng(8)
+    roots = np.array([1, 2])
+    for n in (2048, 2049, 5000, 20_000, 70_000):
+        one = rng.integers(-(1 << 63), 1 << 63, n, np.int64)
+        far = rng.integers(-(1 << 63), 1 << 63, n, np.int64)
+        near = np.concatenate([one[: -(n // 10)], far[: n // 10]])  # 0.9 n of 1.1 n: about 0.82
+        part = one[: -(n // 5)]  # 0.8
+        best = [alike.fine_tally_of(s) or alike.tally_of(s) for s in (one, far, near, part)]
+        assert not alike.may_link([best[0], best[1]], roots, 0.8).any()
+        for i in (2, 3):  # part may have half as many bins
+            assert alike.may_link([best[0], best[i]], roots, 0.8).all() and alike.may_link([best[i], best[0]], roots, 0.8).all()
+        assert alike.may_link([best[0], best[2], alike.tally_of(one[:1000])], np.array([1, 2, 3]), 0.8).tolist() == [True, True, False]
+    assert alike.fine_tally_of(np.arange(2048)) == b""
+
+
+def test_large_sets_that_meet_by_chance_are_not_shuffled(spark):
+    rng = np.random.default_rng(11)
+    sets = [np.append(rng.integers(-(1 << 62), 1 << 62, 5999, np.int64), -(1 << 63)) for _ in range(12)]  # the shared member is in all prefixes
+    sets.append(np.concatenate([sets[0][500:], rng.integers(-(1 << 62), 1 << 62, 500, np.int64)]))
+    rows = spark.createDataFrame([(i, s.tolist()) for i, s in enumerate(sets)], "rep long, members array<long>").localCheckpoint()
+    heads = alike.prefixes(rows, 0.8, (np.empty(0, np.int64), np.empty(0, np.int64))).localCheckpoint()
+    asked = []
+
+    def sets_of(ids):
+        asked.append({r.rep for r in ids.collect()})
+        return rows.join(ids, "rep", "left_semi")
+
+    none = spark.createDataFrame([], "a long, b long")
+    got = alike.similar_components(lambda labels: heads.join(labels, "rep"), sets_of, heads.drop("members"), rows.select("rep"), none, 0.8).collect()
+    assert [(r.node, r.root) for r in got] == [(12, 0)]
+    assert asked == [{0, 12}]
